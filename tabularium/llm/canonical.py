@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.fuzzy import fold
 from tabularium.operators.multivalue import split_values
+from tabularium.sources.tables import balanced, cut
 
 BROADCAST_ROWS = 500_000
 # Other ways to name an entry of the reference list, folded; forms after "direito", "dir." or "materia" stand without it.
@@ -74,9 +75,9 @@ _TAIL_DOT = re.compile(r"\.\s*(?:\*|\(\?\))?\s*$")
 
 
 def bound(key: str) -> int:
-    """Edits allowed for a key of this length: none up to 4 letters, 1 up to 6, 2 up to 13, then 3."""
+    """Edits allowed for a key of this length: none up to 4 letters, 1 up to 6, 2 up to 17, then 3."""
     n = len(key)
-    return 0 if n <= 4 else 1 if n <= 6 else 2 if n <= 13 else 3
+    return 0 if n <= 4 else 1 if n <= 6 else 2 if n <= 17 else 3
 
 
 def deletes(key: str, k: int) -> set[str]:
@@ -174,7 +175,7 @@ def match(values: DataFrame, vocabulary: DataFrame, aliases: dict[str, dict[str,
                     rows += [(campo, o, canonico, key, True, key[:i].rstrip()) for i in range(3, len(key))]
             yield pd.DataFrame(rows, columns=["campo", "ord", "canonico", "listed", "short", "gone"])
 
-    left = typed.mapInPandas(expand, "campo string, valor string, n long, rank int, key string, dotted boolean, gone string")
+    left = balanced(typed).mapInPandas(expand, "campo string, valor string, n long, rank int, key string, dotted boolean, gone string")
     right = ref.select("campo", "ord", "canonico", "key", "main").mapInPandas(expand_ref, "campo string, ord long, canonico string, listed string, short boolean, gone string").distinct()
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         right = F.broadcast(right)
@@ -183,8 +184,9 @@ def match(values: DataFrame, vocabulary: DataFrame, aliases: dict[str, dict[str,
 
     dist = F.pandas_udf(lambda a, b, s: pd.Series([0.5 if z else weighted(x, y) for x, y, z in zip(a, b, s)]), "double")
     pairs = met.select("campo", "valor", "n", "rank", "key", "ord", "canonico", "listed", "short").distinct()
-    limit = F.when(F.length("listed") <= 4, 0.0).when(F.length("listed") <= 6, 1.25).when(F.length("listed") <= 13, 2.25).otherwise(3.3)
-    pairs = pairs.withColumn("distance", dist("key", "listed", "short")).where(F.col("short") | (F.col("distance") <= limit))
+    limit = F.when(F.length("listed") <= 4, 0.0).when(F.length("listed") <= 6, 1.25).when(F.length("listed") <= 17, 2.25).otherwise(3.3)
+    pairs = balanced(pairs).withColumn("distance", dist("key", "listed", "short")).where(F.col("short") | (F.col("distance") <= limit))
+    pairs = cut(pairs)  # read twice: for the frequencies and for the ranking
     # frequency of an entry: rows whose value names it without any error
     freq = pairs.where("distance = 0").groupBy("campo", "canonico").agg(F.sum("n").alias("freq"))
     ranked = pairs.join(F.broadcast(freq), ["campo", "canonico"], "left")

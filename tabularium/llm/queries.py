@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tabularium.llm import canonical, chunks, mixture, tokens
+from tabularium.llm import canonical, chunks, language, mixture, names, tokens
 from tabularium.sources.tables import table
 
 QUERIES = {
     "p1_found": lambda spark, d: canonical.found(table(spark, d, "notes"), table(spark, d, "vocabulary")),
     "p1_misses": lambda spark, d: canonical.misses(table(spark, d, "notes"), table(spark, d, "vocabulary")),
+    "p3_found": lambda spark, d: names.found(table(spark, d, "author_names")),
+    "p3_groups": lambda spark, d: names.groups(table(spark, d, "author_names")),
     "p4_found": lambda spark, d: chunks.found(table(spark, d, "masters"), table(spark, d, "slice_limits")),
     "p4_pieces": lambda spark, d: chunks.split(table(spark, d, "masters"), table(spark, d, "slice_limits")),
+    "p6_found": lambda spark, d: language.found(table(spark, d, "notes")),
+    "p6_languages": lambda spark, d: language.detect(table(spark, d, "notes")).distinct(),
     "p8_ids": lambda spark, d: tokens.encode(table(spark, d, "documents")),
     "p9_mix": lambda spark, d: mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0],
     "p9_shares": lambda spark, d: mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1],
