@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabularium.llm import canonical, chunks, language, mixture, names, tokens
+from tabularium.llm import canonical, chunks, language, mixture, names, scanned, tokens
 from tabularium.sources.tables import table
 
 QUERIES = {
@@ -12,6 +12,8 @@ QUERIES = {
     "p3_groups": lambda spark, d: names.groups(table(spark, d, "author_names")),
     "p4_found": lambda spark, d: chunks.found(table(spark, d, "masters"), table(spark, d, "slice_limits")),
     "p4_pieces": lambda spark, d: chunks.split(table(spark, d, "masters"), table(spark, d, "slice_limits")),
+    "p5_found": lambda spark, d: scanned.found(table(spark, d, "masters")),
+    "p5_repaired": lambda spark, d: scanned.repair(table(spark, d, "masters")),
     "p6_found": lambda spark, d: language.found(table(spark, d, "notes")),
     "p6_languages": lambda spark, d: language.detect(table(spark, d, "notes")).distinct(),
     "p8_ids": lambda spark, d: tokens.encode(table(spark, d, "documents")),
