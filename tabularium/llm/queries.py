@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabularium.llm import canonical, chunks, language, mixture, names, scanned, tokens
+from tabularium.llm import canonical, chunks, language, mixture, names, scanned, subjects, tokens
 from tabularium.sources.tables import table
 
 QUERIES = {
@@ -20,6 +20,8 @@ QUERIES = {
     "p9_mix": lambda spark, d: mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0],
     "p9_shares": lambda spark, d: mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1],
     "p9_sequence": lambda spark, d: mixture.sequence(table(spark, d, "documents"), table(spark, d, "mix_targets")),
+    "p10_found": lambda spark, d: subjects.found(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects")),
+    "p10_corpus": lambda spark, d: subjects.composition(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects")),
 }
 
 SQL = {
