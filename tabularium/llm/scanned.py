@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -231,28 +232,43 @@ def _once(masters: DataFrame) -> DataFrame:
     return balanced(rows.where("master_id is not null and corpo is not null and corpo != ''"), "master_id", factor=2).dropDuplicates(["master_id", "corpo"])
 
 
+_SCAN = pa.schema([("master_id", pa.int64()), ("line_no", pa.int64()), ("kind", pa.string()), ("word", pa.string()), ("rest", pa.string()), ("rest_no", pa.int64()), ("n", pa.int64()), ("lines", pa.list_(pa.int32()))])
+
+
 def scan(masters: DataFrame) -> DataFrame:
-    """(master_id, line_no, kind, word, rest, rest_no): what one pass over each work finds.
+    """(master_id, line_no, kind, word, rest, rest_no, n, lines): what one pass over each work finds.
 
-    kind 'header' and 'pageno' are edge lines, 'word' a word of running text,
+    kind 'header' and 'pageno' are edge lines; 'word' a word of running text
+    with the number of its uses and the lines that hold it, one row a work;
     'cut' a word cut at a line's end with its rest on line rest_no, 'pair' a
     compound with its own hyphen, 'spaced' a word read letter by letter.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, title, text in zip(b["master_id"], b["titulo"], b["corpo"]):
+            rows: list[tuple] = []
+            for k, title, text in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 lines = text.split("\n")
                 edge = edges(lines, title)
                 words, broken = tokens(lines, edge)
-                rows = [(k, i + 1, kind, None, None, None) for i, kind in edge.items()]
-                rows += [(k, i + 1, "word", w, None, None) for i, w in sorted(set(words))]
-                rows += [(k, i + 1, "spaced", m.group().replace(" ", "").lower(), None, None) for i, x in enumerate(lines) if i not in edge and not x.startswith("#") for m in _SPACED.finditer(x)]
-                rows += [(k, i + 1, "pair", m.group().lower(), None, None) for i, x in enumerate(lines) if i not in edge for m in _PAIR.finditer(x)]
-                rows += [(k, i + 1, "cut", h.lower(), r.lower(), j + 1) for i, j, h, r in broken]
-                yield pd.DataFrame(rows, columns=["master_id", "line_no", "kind", "word", "rest", "rest_no"]).astype({"rest_no": "Int64"})
-
-    return _once(masters).mapInPandas(run, "master_id long, line_no long, kind string, word string, rest string, rest_no long")
+                rows += [(k, i + 1, kind, None, None, None, 1, None) for i, kind in edge.items()]
+                at: dict[str, list[int]] = {}
+                for i, w in words:
+                    at.setdefault(w, []).append(i + 1)
+                rows += [(k, None, "word", w, None, None, len(on), sorted(set(on))) for w, on in at.items()]
+                for i, x in enumerate(lines):
+                    if i in edge:
+                        continue
+                    if not x.startswith("#"):
+                        rows += [(k, i + 1, "spaced", m.group().replace(" ", "").lower(), None, None, 1, None) for m in _SPACED.finditer(x)]
+                    if "-" in x:
+                        rows += [(k, i + 1, "pair", m.group().lower(), None, None, 1, None) for m in _PAIR.finditer(x)]
+                rows += [(k, i + 1, "cut", h.lower(), r.lower(), j + 1, 1, None) for i, j, h, r in broken]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCAN.types)], schema=_SCAN)
+
+    once = _once(masters).select(F.col("master_id").cast("long").alias("master_id"), "titulo", "corpo")
+    return once.mapInArrow(run, "master_id long, line_no long, kind string, word string, rest string, rest_no long, n long, lines array<int>")
 
 
 def corrections(words: DataFrame, ratio: float = RATIO, rate: float = RATE) -> DataFrame:
@@ -316,14 +332,14 @@ def found(masters: DataFrame) -> DataFrame:
     Null, empty and blank texts give no row, nor do null ids; repeated rows
     count once. Whole texts are read; all counts are over the whole corpus.
     """
-    seen = cut(scan(masters).withColumn("n", F.lit(1).cast("long")))
+    seen = cut(scan(masters))
     fixes, cuts = judged(seen)
     cuts = cut(cuts)
     edge = seen.where("kind in ('header', 'pageno')").select("master_id", "line_no", F.col("kind").alias("defect"))
     hyphen = cuts.where("not own").select("master_id", "line_no", F.lit("hyphen").alias("defect"))
     wrong = fixes.select("word", "meant")
     spaced = seen.where("kind = 'spaced'").select("master_id", "line_no")
-    inline = seen.where("kind = 'word'").select("master_id", "line_no", "word").join(wrong, "word").select("master_id", "line_no")
+    inline = seen.where("kind = 'word'").select("master_id", "lines", "word").join(wrong, "word").select("master_id", F.explode(F.col("lines").cast("array<long>")).alias("line_no"))
     # of a cut word, the line that holds the misread characters
     diff = F.pandas_udf(lambda a, b: pd.Series([_same_ends(x, y) for x, y in zip(a, b)]), "array<long>")
     broken = cuts.where("not own and joined != joined_ok").withColumn("e", diff("joined", "joined_ok"))
@@ -351,7 +367,7 @@ def repair(masters: DataFrame) -> DataFrame:
     line where the text before ends a sentence. Works with null or empty text
     give no row; of a repeated master one row is given for each different text.
     """
-    seen = cut(scan(masters).withColumn("n", F.lit(1).cast("long")))
+    seen = cut(scan(masters))
     fixes, cuts = judged(seen)
     edge = seen.where("kind in ('header', 'pageno')").select("master_id", "line_no")
     wrong = seen.where("kind = 'word'").select("master_id", "word").join(fixes.select("word", "meant"), "word").select("master_id", "word", "meant")

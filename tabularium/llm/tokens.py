@@ -27,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,8 +114,10 @@ def encoder(vocabulary: str) -> ForcedBoundaryEncoder:
 
 def _texts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string column with the bytes and bounds of their texts; a null text is an empty one."""
-    col = col.cast(pa.large_string())
     n = len(col)
+    if not n:
+        return
+    col = pc.fill_null(col.cast(pa.large_string()), "")
     offs = np.frombuffer(col.buffers()[1], dtype=np.int64, count=n + 1 + col.offset)[col.offset :]
     body = col.buffers()[2]
     raw = np.frombuffer(body, dtype=np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
