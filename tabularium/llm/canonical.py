@@ -145,6 +145,49 @@ def reference(vocabulary: DataFrame, aliases: dict[str, dict[str, str]] | None =
     return own.unionByName(other.select("campo", "ord", "canonico", "key", F.lit(False).alias("main")))
 
 
+def _reach(key: str) -> int:
+    """Deletions of a typed key: a listed one up to two letters longer may allow more edits than its own length does."""
+    return max(bound(key), bound(key + "  ")) if len(key) > 2 else 0
+
+
+def near(keys: DataFrame, ref: DataFrame) -> DataFrame:
+    """keys(campo, key), ref(campo, ord, canonico, key, main) -> (campo, key, ord, canonico, listed): within the bounded edit distance.
+
+    The dictionary of deletes goes to every worker while it has at most
+    ``BROADCAST_ROWS`` entries; a larger one is joined by shuffle on the deletes.
+    """
+    sized = ref.agg(F.sum(F.expr("case when length(key) <= 4 then 1 when length(key) <= 6 then length(key) + 1 when length(key) <= 17 then length(key) * length(key) else length(key) * length(key) * length(key) div 4 end")).alias("n")).first()["n"] or 0
+    out = "campo string, key string, ord long, canonico string, listed string"
+    if sized <= BROADCAST_ROWS:
+        index: dict[tuple[str, str], list[tuple]] = {}
+        for campo, o, canonico, key, _ in ref.select("campo", "ord", "canonico", "key", "main").distinct().collect():  # as many rows as the check above allows
+            for gone in deletes(key, bound(key)):
+                index.setdefault((campo, gone), []).append((o, canonico, key))
+        sent = keys.sparkSession.sparkContext.broadcast(index)
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            listed = sent.value
+            for b in batches:
+                rows = {(campo, key, *hit) for campo, key in zip(b["campo"], b["key"]) for gone in deletes(key, _reach(key)) for hit in listed.get((campo, gone), ())}
+                yield pd.DataFrame(sorted(rows), columns=["campo", "key", "ord", "canonico", "listed"])
+
+        return balanced(keys).mapInPandas(look, out)
+
+    def expand(reach) -> object:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [(campo, key, x) for campo, key in zip(b["campo"], b["key"]) for x in deletes(key, reach(key))]
+                yield pd.DataFrame(rows, columns=["campo", "key", "gone"])
+
+        return run
+
+    schema = "campo string, key string, gone string"
+    left = balanced(keys).mapInPandas(expand(_reach), schema)
+    right = balanced(ref.select("campo", "key").distinct()).mapInPandas(expand(bound), schema).withColumnRenamed("key", "listed")
+    met = left.join(right, ["campo", "gone"]).select("campo", "key", "listed").distinct()
+    return met.join(ref.select("campo", F.col("key").alias("listed"), "ord", "canonico").distinct(), ["campo", "listed"]).select("campo", "key", "ord", "canonico", "listed")
+
+
 def match(values: DataFrame, vocabulary: DataFrame, aliases: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """values(campo, valor) -> (campo, valor, canonico, distance), one row per distinct pair.
 
@@ -152,44 +195,26 @@ def match(values: DataFrame, vocabulary: DataFrame, aliases: dict[str, dict[str,
     A value that is literally an entry maps to it at distance 0. Null values are
     left out; ties go to the more frequent entry, then to the list's order.
     """
-    typed = values.where("valor is not null and campo is not null").groupBy("campo", "valor").agg(F.count(F.lit(1)).alias("n"))
+    typed = cut(values.where("valor is not null and campo is not null").groupBy("campo", "valor").agg(F.count(F.lit(1)).alias("n")))
     ref = reference(vocabulary, aliases)
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for campo, valor, n in zip(b["campo"], b["valor"], b["n"]):
-                dotted = bool(_TAIL_DOT.search(valor))
-                for rank, key in enumerate(keys_of(valor, campo)):
-                    k = bound(key)
-                    # a listed key one class longer may allow more edits than the typed one
-                    rows += [(campo, valor, n, rank, key, dotted, x) for x in deletes(key, max(k, bound(key + "  ")) if len(key) > 2 else 0)]
-            yield pd.DataFrame(rows, columns=["campo", "valor", "n", "rank", "key", "dotted", "gone"])
-
-    def expand_ref(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for campo, o, canonico, key, main in b.itertuples(index=False):
-                rows += [(campo, o, canonico, key, False, x) for x in deletes(key, bound(key))]
-                if main:  # beginnings of the entry's own name, as abbreviations
-                    rows += [(campo, o, canonico, key, True, key[:i].rstrip()) for i in range(3, len(key))]
-            yield pd.DataFrame(rows, columns=["campo", "ord", "canonico", "listed", "short", "gone"])
-
-    left = balanced(typed).mapInPandas(expand, "campo string, valor string, n long, rank int, key string, dotted boolean, gone string")
-    right = ref.select("campo", "ord", "canonico", "key", "main").mapInPandas(expand_ref, "campo string, ord long, canonico string, listed string, short boolean, gone string").distinct()
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        right = F.broadcast(right)
-    # an abbreviation must be the whole key and end in a point
-    met = left.join(right, ["campo", "gone"]).where("(not short or (dotted and gone = key)) and (short or abs(length(key) - length(listed)) <= 3)")
-
-    dist = F.pandas_udf(lambda a, b, s: pd.Series([0.5 if z else weighted(x, y) for x, y, z in zip(a, b, s)]), "double")
-    pairs = met.select("campo", "valor", "n", "rank", "key", "ord", "canonico", "listed", "short").distinct()
+            rows = [(c, v, n, rank, key, bool(_TAIL_DOT.search(v))) for c, v, n in zip(b["campo"], b["valor"], b["n"]) for rank, key in enumerate(keys_of(v, c))]
+            yield pd.DataFrame(rows, columns=["campo", "valor", "n", "rank", "key", "dotted"])
+
+    keyed = cut(typed.mapInPandas(forms, "campo string, valor string, n long, rank int, key string, dotted boolean"))
+    dist = F.pandas_udf(lambda a, b: pd.Series([weighted(x, y) for x, y in zip(a, b)]), "double")
     limit = F.when(F.length("listed") <= 4, 0.0).when(F.length("listed") <= 6, 1.25).when(F.length("listed") <= 17, 2.25).otherwise(3.3)
-    pairs = balanced(pairs).withColumn("distance", dist("key", "listed", "short")).where(F.col("short") | (F.col("distance") <= limit))
-    pairs = cut(pairs)  # read twice: for the frequencies and for the ranking
+    hits = near(keyed.select("campo", "key").distinct(), ref).withColumn("distance", dist("key", "listed")).where(F.col("distance") <= limit)
+    # a value that ends in a point may also be the beginning of an entry's own name
+    begun = ref.where("main").select("campo", "ord", "canonico", F.explode(F.expr("transform(sequence(3, greatest(3, length(key) - 1)), i -> rtrim(left(key, i)))")).alias("key")).distinct()
+    short = keyed.where("dotted").join(begun, ["campo", "key"]).select("campo", "valor", "n", "rank", "ord", "canonico", F.lit(0.5).alias("distance"))
+    pairs = keyed.join(hits, ["campo", "key"]).select("campo", "valor", "n", "rank", "ord", "canonico", "distance")
+    pairs = cut(pairs.unionByName(short))  # read twice: for the frequencies and for the ranking
     # frequency of an entry: rows whose value names it without any error
     freq = pairs.where("distance = 0").groupBy("campo", "canonico").agg(F.sum("n").alias("freq"))
-    ranked = pairs.join(F.broadcast(freq), ["campo", "canonico"], "left")
+    ranked = pairs.join(freq, ["campo", "canonico"], "left")
     best = ranked.groupBy("campo", "valor").agg(
         F.min_by(F.struct("canonico", "distance"), F.struct("distance", "rank", (-F.coalesce("freq", F.lit(0))).alias("rare"), "ord")).alias("b")
     )
