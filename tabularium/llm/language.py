@@ -203,10 +203,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def fit(notes: DataFrame, per_label: int = PER_LABEL, chars: int = FIT_CHARS) -> np.ndarray:
     """Prototypes from a bounded sample: the ``per_label`` notes of each named language that come first by a hash of their id."""
+    labels = notes.where("idioma is not null and note_id is not null and corpo is not null and trim(corpo) != ''").groupBy("idioma", "note_id").agg(F.lit(1).alias("one"))
     named = F.pandas_udf(lambda s: s.map(code_of), "string")
-    rows = notes.where("idioma is not null and corpo is not null and trim(corpo) != ''").select("note_id", named("idioma").alias("code"), "corpo").where("code is not null")
+    forms = labels.select("idioma").distinct().withColumn("code", named("idioma")).where("code is not null")
     first = Window.partitionBy("code").orderBy(F.xxhash64("note_id"), "note_id")
-    sample = rows.select("note_id", "code", F.substring("corpo", 1, chars).alias("t")).withColumn("r", F.row_number().over(first)).where(f"r <= {int(per_label)}").toPandas()
+    # chosen by id and label alone; texts are read for the chosen notes only
+    chosen = labels.join(forms, "idioma").withColumn("r", F.row_number().over(first)).where(f"r <= {int(per_label)}").select("note_id", "code")
+    sample = notes.select("note_id", F.substring("corpo", 1, chars).alias("t")).join(F.broadcast(chosen), "note_id").distinct().toPandas()
     texts, labels = [], []
     for code, t in sorted(zip(sample["code"], sample["t"])):
         for _, body in paragraphs(t):
