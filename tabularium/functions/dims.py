@@ -89,3 +89,16 @@ def sql_values(values: tuple, *names: str) -> str:
     cell = lambda v: str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
     body = ", ".join("(" + ", ".join(cell(x) for x in (v if isinstance(v, tuple) else (v,))) + ")" for v in values)
     return f"(values {body}) as t({', '.join(names)})"
+
+
+# fields a source type must have, of those that notes keep
+REQUIRED = (
+    ("livro", "autoria"), ("livro", "titulo"), ("livro", "ano"), ("livro_ebook_leitor", "autoria"), ("livro_ebook_leitor", "titulo"), ("livro_ebook_leitor", "ano"),
+    ("livro_ebook_online", "autoria"), ("livro_ebook_online", "titulo"), ("livro_ebook_online", "ano"),
+    ("capitulo_livro", "autoria"), ("capitulo_livro", "titulo"), ("capitulo_livro", "ano"), ("capitulo_livro", "pagina_inicio"), ("capitulo_livro", "pagina_fim"),
+    ("artigo_periodico", "autoria"), ("artigo_periodico", "titulo"), ("artigo_periodico", "pagina_inicio"), ("artigo_periodico", "pagina_fim"), ("artigo_periodico", "ano"),
+    ("trabalho_academico", "autoria"), ("trabalho_academico", "titulo"), ("trabalho_academico", "ano"), ("evento", "autoria"), ("evento", "titulo"), ("evento", "ano"),
+    ("legislacao", "autoria"), ("legislacao", "ano"), ("documento_online", "titulo"), ("documento_online", "ano"), ("verbete", "titulo"), ("verbete", "ano"),
+    ("norma_tecnica", "autoria"), ("norma_tecnica", "titulo"), ("norma_tecnica", "ano"), ("audiovisual", "titulo"), ("audiovisual", "autoria"), ("audiovisual", "ano"),
+    ("correspondencia", "autoria"), ("correspondencia", "titulo"), ("peca_interna", "titulo"),
+)

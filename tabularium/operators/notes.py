@@ -116,17 +116,21 @@ def to_roman(n: Column) -> Column:
     return out
 
 
-def body_links(notes: DataFrame) -> DataFrame:
-    """(note_id, target): stems named by links in a note's text, placeholders in « » left out."""
-    n = once(notes, "corpo").where("corpo is not null")
+def link_targets(rows: DataFrame) -> DataFrame:
+    """(note_id, target): stems named by links in each row's text, placeholders in « » left out; repeated rows repeat."""
     found = F.explode(F.regexp_extract_all("corpo", F.lit(r"(\[\[[^\]]*\]\])"), F.lit(1)))
-    return n.select("note_id", found.alias("l")).select("note_id", link_stem(F.col("l")).alias("target")).where("target is not null and target not like '«%'")
+    return rows.where("note_id is not null and corpo is not null").select("note_id", found.alias("l")).select("note_id", link_stem(F.col("l")).alias("target")).where("target is not null and target not like '«%'")
+
+
+def body_links(notes: DataFrame) -> DataFrame:
+    """(note_id, target): one row a link; a note delivered twice counts once."""
+    return link_targets(once(notes, "corpo"))
 
 
 def broken_links(notes: DataFrame) -> DataFrame:
-    """(note_id, target): links to stems that no note has."""
+    """(note_id, target): links to stems that no note has. Texts aren't shuffled, only their distinct links."""
     stems = notes.select(F.col("stem").alias("target")).where("target is not null").distinct()
-    return body_links(notes).distinct().join(stems, "target", "left_anti").select("note_id", "target")
+    return link_targets(notes).distinct().join(stems, "target", "left_anti").select("note_id", "target")
 
 
 def duplicate_stems(notes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tabularium.operators import graph as G
 from tabularium.operators import notes as N
 from tabularium.operators import panels as P
 from tabularium.operators import slices as S
+from tabularium.operators import vault as V
 from tabularium.operators import wordscore as L
 from tabularium.streaming import windows as W
 
@@ -161,3 +162,34 @@ def test_windows_batch(spark):
     assert sorted(r["n"] for r in W.tumbling(W.distinct(e)).collect()) == [1, 2]
     assert sorted(r["n"] for r in W.sessions(W.distinct(e)).collect()) == [1, 2]
     assert W.tumbling(e.limit(0)).collect() == []
+
+
+def test_graph_faults_of_a_planted_vault(spark, note_rows):
+    ok = {"has_fm": True, "tipo": "Doutrina", "tipo_fonte": "livro", "status": "Vigente", "area": "Civil"}
+    name = "CIVIL_DOUT_2020_Obra_Autor"
+    rows = [
+        dict(ok, note_id=1, stem=f"{name}_INDICE", partes="2", corpo=f"[[{name}_p01]] [[nowhere|x]] [[«modelo»]]"),
+        dict(ok, note_id=2, stem=f"{name}_p01", parte="1", obra=f"[[{name}_INDICE | x ]]"),
+        dict(ok, note_id=3, stem="odd name", tipo="Doutrinaa", area=None, partes="?"),
+        dict(ok, note_id=4, stem=f"{name}2_p01", parte="1", obra="[[Ghost_INDICE]]"),
+        dict(ok, note_id=5, stem=f"{name}3_p01", parte="1", obra="  "),
+        {"note_id": 6, "stem": f"{name}4", "tipo": "Jurisprudência", "tipo_fonte": "livro", "area": "x"},
+    ]
+    voc = spark.createDataFrame([("tipo", 1, "Doutrina"), ("tipo", 2, "Jurisprudência"), ("status", 1, "Vigente")], "campo string, ord bigint, canonico string")
+    got = sorted((r["note_id"], r["code"]) for r in V.findings(note_rows(*rows, rows[0]), voc).collect())
+    assert got == [(1, "broken_link"), (1, "slice_count"), (3, "count_not_a_number"), (3, "kind"), (3, "name"), (3, "no_area"), (3, "pair"), (4, "orphan"), (5, "slice_without_link"), (6, "no_metadata"), (6, "pair")]
+    assert V.findings(note_rows(), voc).collect() == []
+
+
+def test_listings(spark):
+    pdf = spark.createDataFrame([("a", "x.pdf"), ("a", "x_OCR.pdf"), ("a", "y_OCR.PDF"), ("b", "x_OCR.pdf"), ("a", "n.txt"), ("a", None)], "folder string, name string")
+    assert sorted(tuple(r) for r in V.sources_listing(pdf).collect()) == [("a", "x.pdf"), ("a", "y_OCR.PDF"), ("b", "x_OCR.pdf")]
+    src = spark.createDataFrame([(1, "/a/", None), (2, "/a", "folder"), (3, " ", None), (4, None, None), (5, "/b.pdf", None), (6, "/", None)], "ord int, path string, kind string")
+    assert sorted(tuple(r) for r in V.first_of_each(src).collect()) == [(1, "/a", "folder"), (5, "/b.pdf", "file"), (6, "/", "folder")]
+
+
+def test_pages_are_taken_apart_and_put_together(spark):
+    m = masters(spark, (1, "{{p.1}}\n\num\ndois\n\n{{p.2}}\n\ntrês"), (2, None), (3, "sem"))
+    p = V.pages(m)
+    assert sorted((r["page"], r["text"]) for r in p.collect()) == [("1", "um\ndois"), ("2", "três")]
+    assert V.assemble(p).first()["texto"] == "{{p.1}}\n\num\ndois\n\n{{p.2}}\n\ntrês"
