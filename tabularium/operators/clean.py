@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from tabularium.operators.anchors import ANCHOR, lines
 
+# The letters and patterns that must act on the same text as the rules always did.
 LOWER = "a-záàâãéêíóôõúüçñäöüß"
+NOISE = r"(?<=\s)[|¦¬~^`]{1,3}(?=\s)"
+BROKEN_LINE = rf"(?<![.:;!?—\-])\n(?=[{LOWER}])"
+CUT_WORD = rf"([\p{{L}}\p{{N}}_])-\n(?=[{LOWER}])"
 # Lines that are nothing but page furniture.
 JUNK = (r"(?i)^\s*p[áa]gina\s+\d+\s*(de\s+\d+)?\s*$", r"^\s*\d{1,4}\s*$", r"^\s*[-–—_=~*.]{3,}\s*$", r"^\s*[|¦]+\s*$", r"(?i)^\s*(scanned|digitalizado|www\.|http)")
 
@@ -42,7 +46,7 @@ def signs(texts: DataFrame, key: str = "master_id", text: str = "corpo") -> Data
 
 def join_hyphens(c: Column) -> Column:
     """Words cut at a line's end joined, where the next line goes on in lower case."""
-    return F.regexp_replace(c, rf"([\p{{L}}\p{{N}}_])-\n(?=[{LOWER}])", "$1")
+    return F.regexp_replace(c, CUT_WORD, "$1")
 
 
 def clean(texts: DataFrame, key: str = "master_id", text: str = "corpo") -> DataFrame:
@@ -62,8 +66,8 @@ def clean(texts: DataFrame, key: str = "master_id", text: str = "corpo") -> Data
     is_junk = lambda x: x.rlike(junk) & ~is_anchor(x)
     rows = rows.withColumn("n_headers", F.size(F.filter("ls", is_head)).cast("long")).withColumn("n_junk", F.size(F.filter("ls", lambda x: is_junk(x) & ~is_head(x))).cast("long"))
     t = F.array_join(F.filter("ls", lambda x: ~is_head(x) & ~is_junk(x)), "\n")
-    t = F.regexp_replace(t, r"(?<=\s)[|¦¬~^`]{1,3}(?=\s)", " ")
-    t = F.regexp_replace(t, rf"(?<![.:;!?—\-])\n(?=[{LOWER}])", " ")
+    t = F.regexp_replace(t, NOISE, " ")
+    t = F.regexp_replace(t, BROKEN_LINE, " ")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}", " "), r"[ \t]+\n", "\n")
     t = F.regexp_replace(t, r"\n*(" + ANCHOR + r")\n*", "\n\n$1\n\n")
     t = F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

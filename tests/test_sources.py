@@ -3,7 +3,7 @@ import os
 
 from tabularium.sources import markdown as M
 from tabularium.sources.tables import cut, shared_dir
-from tabularium.streaming import radar
+from tabularium.streaming import incoming
 
 
 def test_scan_ledger_and_export(spark, tmp_path):
@@ -33,24 +33,24 @@ def test_cut_keeps_rows_and_types(spark):
     assert shared_dir(spark).startswith("file:")
 
 
-def test_radar_works_on_each_content_once(spark, tmp_path):
+def test_incoming_works_on_each_content_once(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
     notes = spark.createDataFrame([(1, "lei", "5172"), (2, "lei", "8666")], "note_id bigint, label string, num string")
     write = lambda name, title, text: (inbox / name).write_text(json.dumps({"titulo": title, "corpo": text, "area": ["Civil"]}))
     write("a.json", "um", "muda a Lei 5.172")
     args = (spark, str(inbox), notes, str(tmp_path / "out"), str(tmp_path / "ck"))
-    radar.start(*args).awaitTermination()
+    incoming.start(*args).awaitTermination()
     write("copy.json", "um", "muda a Lei 5.172")
     write("b.json", "dois", "revoga a Lei 8.666")
-    radar.start(*args).awaitTermination()
+    incoming.start(*args).awaitTermination()
     got = sorted((r["note_id"], r["common"]) for r in spark.read.parquet(str(tmp_path / "out" / "matches")).collect())
     assert got == [(1, 1), (2, 1)]
 
 
 def test_intake(spark):
     rows = [("a", "x", None, "2024-01-01"), ("", "x", None, None), ("b", " ", None, None), ("c", "x", "ftp://y", None), ("old", "x", "https://y", "soon"), ("d", "x", "https://y", "soon")]
-    f = spark.createDataFrame([(t, None, None, d, None, u, None, c) for t, c, u, d in rows], radar.FINDING)
-    got = {r["titulo"]: (r["accepted"], r["reason"], r["warning"], r["data"]) for r in radar.intake(f, spark.createDataFrame([("old",)], "titulo string"), "2026-01-01").collect()}
+    f = spark.createDataFrame([(t, None, None, d, None, u, None, c) for t, c, u, d in rows], incoming.FINDING)
+    got = {r["titulo"]: (r["accepted"], r["reason"], r["warning"], r["data"]) for r in incoming.intake(f, spark.createDataFrame([("old",)], "titulo string"), "2026-01-01").collect()}
     assert got["a"] == (True, None, None, "2024-01-01") and got["d"] == (True, None, "date", "2026-01-01")
     assert [got[k][1] for k in ("", "b", "c", "old")] == ["no title", "no text", "address", "exists"]
