@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabularium.functions import dims
 from tabularium.functions.text import is_blank, link_stem
 from tabularium.operators.notes import once
+from tabularium.sources.tables import cut
 
 PLACES = 6  # decimals at which weights are compared; sums of doubles depend on their order
 
@@ -57,13 +58,28 @@ def _weighted(ids: DataFrame) -> DataFrame:
     return d.where((F.col("df") >= 2) & (F.col("df") <= F.ceil(F.col("N") / 2))).select("label", "num", "df", F.log(F.col("N") / F.col("df")).alias("w"))
 
 
+def candidates(one: DataFrame, least: float) -> DataFrame:
+    """one(work, label, num, w) -> (a, b), a < b: every pair that can reach ``least``, found without the commonest identifiers.
+
+    Of each work the lightest identifiers that together stay under ``least`` are
+    left out of the join: two works that share only such ones can't reach it.
+    So an identifier of many works, whose weight is small, joins only where the
+    rest of a work is lighter still.
+    """
+    w = Window.partitionBy("work").orderBy(F.col("df").desc(), "label", "num").rowsBetween(Window.unboundedPreceding, 0)
+    lead = one.withColumn("run", F.sum("w").over(w)).where(F.col("run") >= least - 10.0**-PLACES).select("label", "num", "work")
+    pairs = lead.withColumnRenamed("work", "a").join(lead.withColumnRenamed("work", "b"), ["label", "num"]).where("a < b")
+    return pairs.select("a", "b").distinct()
+
+
 def relations(ids: DataFrame, least: float = 2.0, top: int = 8) -> DataFrame:
-    """(work, other, common, weight, rk): each work's ``top`` related works by the summed weight of shared identifiers."""
-    w = _weighted(ids)
-    one = ids.select("work", "label", "num").join(w, ["label", "num"])
-    a = one.select("label", "num", "w", F.col("work").alias("a"))
-    b = one.select("label", "num", F.col("work").alias("b"))
-    half = a.join(b, ["label", "num"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.round(F.sum("w"), PLACES).alias("weight")).where(F.col("weight") >= least)
+    """(work, other, common, weight, rk): each work's ``top`` related works by the summed weight of shared identifiers.
+
+    Ties go to the name of the other work. Null works are left out.
+    """
+    one = cut(ids.where("work is not null").select("work", "label", "num").join(_weighted(ids), ["label", "num"]))
+    shared = candidates(one, least).join(one.withColumnRenamed("work", "a"), "a").join(one.select(F.col("work").alias("b"), "label", "num"), ["b", "label", "num"])
+    half = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.round(F.sum("w"), PLACES).alias("weight")).where(F.col("weight") >= least)
     both = half.select(F.col("a").alias("work"), F.col("b").alias("other"), "common", "weight").unionByName(half.select(F.col("b").alias("work"), F.col("a").alias("other"), "common", "weight"))
     rank = F.row_number().over(Window.partitionBy("work").orderBy(F.col("weight").desc(), "other")).cast("long")
     return both.withColumn("rk", rank).where(F.col("rk") <= top)
