@@ -58,28 +58,42 @@ def _weighted(ids: DataFrame) -> DataFrame:
     return d.where((F.col("df") >= 2) & (F.col("df") <= F.ceil(F.col("N") / 2))).select("label", "num", "df", F.log(F.col("N") / F.col("df")).alias("w"))
 
 
-def candidates(one: DataFrame, least: float) -> DataFrame:
-    """one(work, label, num, w) -> (a, b), a < b: every pair that can reach ``least``, found without the commonest identifiers.
+COMMON = 200  # works from which an identifier joins only where lighter ones don't suffice
 
-    Of each work the lightest identifiers that together stay under ``least`` are
-    left out of the join: two works that share only such ones can't reach it.
-    So an identifier of many works, whose weight is small, joins only where the
-    rest of a work is lighter still.
-    """
-    w = Window.partitionBy("work").orderBy(F.col("df").desc(), "label", "num").rowsBetween(Window.unboundedPreceding, 0)
-    lead = one.withColumn("run", F.sum("w").over(w)).where(F.col("run") >= least - 10.0**-PLACES).select("label", "num", "work")
-    pairs = lead.withColumnRenamed("work", "a").join(lead.withColumnRenamed("work", "b"), ["label", "num"]).where("a < b")
-    return pairs.select("a", "b").distinct()
 
+def pair_weights(one: DataFrame, least: float, common: int = COMMON) -> DataFrame:
+    """one(work, label, num, df, w) -> (a, b, common, weight), a < b: every pair of works that reaches ``least``, and maybe others.
 
-def relations(ids: DataFrame, least: float = 2.0, top: int = 8) -> DataFrame:
+    Identifiers of few works are joined with themselves. Of the common ones a
+    work's lightest, as far as they stay under ``least`` together, don't look
+    for partners: the rarest identifier that two related works share is never
+    among them, in either work. Common identifiers are then added for the pairs
+    found, so sums are whole.
+    """
+    side = lambda df, x: df.select("label", "num", F.col("work").alias(x))
+    few, many = one.where(F.col("df") <= common), one.where(F.col("df") > common)
+    rare = few.select("label", "num", "w", F.col("work").alias("a")).join(side(few, "b"), ["label", "num"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n1"), F.sum("w").alias("w1"))
+    if not many.limit(1).count():
+        return rare.select("a", "b", F.col("n1").alias("common"), F.round("w1", PLACES).alias("weight"))
+    rare = cut(rare)
+    order = Window.partitionBy("work").orderBy(F.col("df").desc(), "label", "num").rowsBetween(Window.unboundedPreceding, 0)
+    lead = one.withColumn("run", F.sum("w").over(order)).where((F.col("run") >= least - 10.0**-PLACES) & (F.col("df") > common))
+    found = side(lead, "a").join(side(lead, "b"), ["label", "num"]).where("a < b").select("a", "b").unionByName(rare.select("a", "b")).distinct()
+    shared = found.join(many.select("label", "num", "w", F.col("work").alias("a")), "a").join(side(many, "b"), ["b", "label", "num"])
+    rest = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n2"), F.sum("w").alias("w2"))
+    zero = F.lit(0)
+    return rare.join(rest, ["a", "b"], "full").select(
+        "a", "b", (F.coalesce("n1", zero) + F.coalesce("n2", zero)).alias("common"), F.round(F.coalesce("w1", zero) + F.coalesce("w2", zero), PLACES).alias("weight")
+    )
+
+
+def relations(ids: DataFrame, least: float = 2.0, top: int = 8, common: int = COMMON) -> DataFrame:
     """(work, other, common, weight, rk): each work's ``top`` related works by the summed weight of shared identifiers.
 
     Ties go to the name of the other work. Null works are left out.
     """
     one = cut(ids.where("work is not null").select("work", "label", "num").join(_weighted(ids), ["label", "num"]))
-    shared = candidates(one, least).join(one.withColumnRenamed("work", "a"), "a").join(one.select(F.col("work").alias("b"), "label", "num"), ["b", "label", "num"])
-    half = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.round(F.sum("w"), PLACES).alias("weight")).where(F.col("weight") >= least)
+    half = pair_weights(one, least, common).where(F.col("weight") >= least)
     both = half.select(F.col("a").alias("work"), F.col("b").alias("other"), "common", "weight").unionByName(half.select(F.col("b").alias("work"), F.col("a").alias("other"), "common", "weight"))
     rank = F.row_number().over(Window.partitionBy("work").orderBy(F.col("weight").desc(), "other")).cast("long")
     return both.withColumn("rk", rank).where(F.col("rk") <= top)

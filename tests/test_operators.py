@@ -119,6 +119,17 @@ def test_relations_by_hand(spark):
     assert K.relations(empty).collect() == [] and K.hubs(empty).collect() == []
 
 
+def test_common_identifiers_change_no_relation(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = sorted({(f"w{rnd.randint(0, 25)}", "lei", str(min(rnd.randint(1, 30), rnd.randint(1, 30))), 1) for _ in range(260)})
+    ids = spark.createDataFrame(rows, "work string, label string, num string, n bigint")
+    want = {(r["work"], r["other"], r["common"], r["weight"]) for r in K.relations(ids, least=2.0, top=99, common=10**6).collect()}
+    for common in (0, 3, 6):
+        assert {(r["work"], r["other"], r["common"], r["weight"]) for r in K.relations(ids, least=2.0, top=99, common=common).collect()} == want and want
+
+
 def test_identifiers_need_their_words(spark):
     docs = spark.createDataFrame([(1, "Lei nº 5.172 e a SÚMULA 473; decreto-lei 200"), (2, None), (3, "lei 12")], "doc_id bigint, t string")
     got = {(r["label"], r["num"]) for r in K.extract(docs, "doc_id", "t").collect()}
