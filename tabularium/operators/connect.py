@@ -58,7 +58,7 @@ def _weighted(ids: DataFrame) -> DataFrame:
     return d.where((F.col("df") >= 2) & (F.col("df") <= F.ceil(F.col("N") / 2))).select("label", "num", "df", F.log(F.col("N") / F.col("df")).alias("w"))
 
 
-COMMON = 200  # works from which an identifier joins only where lighter ones don't suffice
+COMMON = 2000  # works from which an identifier joins only where lighter ones don't suffice
 
 
 def pair_weights(one: DataFrame, least: float, common: int = COMMON) -> DataFrame:
