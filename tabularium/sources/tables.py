@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CUTS: list[str] = []
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``root`` (one file or a folder of parts)."""
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
@@ -31,14 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from what was written.
 
     Survives lost executors, ends the lineage, and lets several consumers read
-    one computation. Column order and types stay as they are.
+    one computation. Column order and types stay as they are. The files stay
+    until ``clear_cuts`` or until the shared folder is emptied.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _CUTS.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def clear_cuts(spark: SparkSession) -> int:
+    """Delete what ``cut`` has written in this process; returns how many tables. Results not yet written may need them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def spread(spark: SparkSession, factor: int = 1) -> int:
     """Number of partitions for CPU-bound Python stages: the session's shuffle width."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism) * factor

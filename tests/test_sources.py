@@ -2,7 +2,7 @@ import json
 import os
 
 from tabularium.sources import markdown as M
-from tabularium.sources.tables import cut, shared_dir
+from tabularium.sources.tables import clear_cuts, cut, shared_dir
 from tabularium.streaming import incoming
 
 
@@ -31,6 +31,7 @@ def test_cut_keeps_rows_and_types(spark):
     again = cut(df)
     assert again.schema.simpleString() == df.schema.simpleString() and again.count() == 2
     assert shared_dir(spark).startswith("file:")
+    assert clear_cuts(spark) >= 1 and clear_cuts(spark) == 0
 
 
 def test_incoming_works_on_each_content_once(spark, tmp_path):
