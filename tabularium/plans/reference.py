@@ -405,7 +405,10 @@ def c03(spark, d):
 # ---------------------------------------------------------------- identifiers, relations, hubs
 
 
-@query("C29_identifiers")
+_RX = lambda p: p.replace("'", "''")
+
+
+@query("C29_identifiers", "with r as (" + " union all ".join(f"select doc_id, '{label}' label, unnest(regexp_extract_all(text, '(?i){_RX(p)}', 1)) raw from documents" for label, p in dims.IDENTIFIERS) + r"), x as (select doc_id, label, regexp_replace(raw, '\D', '', 'g') num from r) select doc_id, label, num, count(*)::bigint n from x where num <> '' group by all")
 def c29(spark, d):
     return K.extract(_t(spark, d, "documents").where("text is not null"), "doc_id", "text")
 

@@ -55,3 +55,21 @@ def test_intake(spark):
     got = {r["titulo"]: (r["accepted"], r["reason"], r["warning"], r["data"]) for r in incoming.intake(f, spark.createDataFrame([("old",)], "titulo string"), "2026-01-01").collect()}
     assert got["a"] == (True, None, None, "2024-01-01") and got["d"] == (True, None, "date", "2026-01-01")
     assert [got[k][1] for k in ("", "b", "c", "old")] == ["no title", "no text", "address", "exists"]
+
+
+def test_windows_over_a_stream_equal_those_over_the_table(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tabularium.streaming import windows as W
+
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, t0 + timedelta(minutes=7 * i), i % 3, "a" if i % 2 else "b", float(i)) for i in range(200)]
+    e = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double")
+    e.coalesce(1).write.parquet(str(tmp_path / "events"))
+    late = spark.createDataFrame([(999, t0 + timedelta(days=40), 1, "a", 0.0)], e.schema)  # moves the watermark past every window
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "events"))
+    q = W.tumbling(stream, "1 hour", "10 minutes").writeStream.format("memory").queryName("tumbled").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {tuple(r) for r in spark.table("tumbled").where("start < '2024-02-01'").collect()}
+    assert got == {tuple(r) for r in W.tumbling(e, "1 hour").collect()} and got
