@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tabularium.sources.tables import balanced
 
+CHARS_AT_ONCE = 8_000_000  # characters of texts a worker cuts before it hands the pieces on; memory only
 _WORD = re.compile(r"\S+")
 # Strength of a boundary, strongest first; the number is what the ranking uses.
 HEADING, ANCHOR, PARAGRAPH, SENTENCE, LINE, CLAUSE, WORD = 6, 5, 4, 3, 2, 1, 0
@@ -110,8 +111,9 @@ def split(texts: DataFrame, limits: DataFrame, key: str = "master_id", text: str
     out = f"{key} {kind_of_key}, piece long, n_pieces long, first_word long, last_word long, n_words long, n_overlap long, n_total long, teto long" + (", text string" if with_text else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = [key, "piece", "n_pieces", "first_word", "last_word", "n_words", "n_overlap", "n_total", "teto"] + ["text"] * with_text
         for b in batches:
-            got = []
+            got, size = [], 0
             for k, alvo, teto, over, t in zip(b[key], b["alvo"], b["teto"], b["over"], b["__t"]):
                 spans = [m.span() for m in _WORD.finditer(t)]
                 if not spans:
@@ -125,7 +127,10 @@ def split(texts: DataFrame, limits: DataFrame, key: str = "master_id", text: str
                     first = a if i == 1 else max(0, a - overlap)
                     row = (k, i, len(at) - 1, first + 1, e, e - first, a - first, n, limit)
                     got.append((*row, t[spans[first][0] : spans[e - 1][1]]) if with_text else row)
-            cols = [key, "piece", "n_pieces", "first_word", "last_word", "n_words", "n_overlap", "n_total", "teto"] + ["text"] * with_text
+                size += len(t)
+                if size > CHARS_AT_ONCE:
+                    yield pd.DataFrame(got, columns=cols)
+                    got, size = [], 0
             yield pd.DataFrame(got, columns=cols)
 
     return rows.mapInPandas(run, out)

@@ -37,6 +37,7 @@ SHARPNESS = 20.0
 SURE = 0.1  # difference of the two best cosines from which a sample text counts as sure
 RATE = 0.01  # share of a sentence moved between prototypes when it was missed
 MARGIN = 0.03  # a sentence counts as missed under this difference of cosines
+PORTION = 200_000  # characters laid out at once; memory only
 BLOCK = 256  # texts bundled in one matrix product; memory only
 # Ways to name each language, folded; a region after "-" or "_" is ignored.
 NAMES = {
@@ -146,11 +147,42 @@ class Profiles:
                 out[first : first + rows] += counts[:, s : s + 4096] @ self._vector(codes[here[s : s + 4096]]).astype(np.float32)
         return out
 
+    def bundle(self, texts: list[str]) -> np.ndarray:
+        """``vectors`` in portions of some ``PORTION`` characters, so that memory doesn't grow with the batch.
+
+        A longer text is taken in parts that overlap by two letters, and the
+        parts' vectors are added: no run of letters is lost.
+        """
+        out = np.zeros((len(texts), DIM), dtype=np.float32)
+        parts: list[str] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if parts:
+                np.add.at(out, owner, self.vectors(parts))
+            parts.clear(), owner.clear()
+            size = 0
+
+        for i, t in enumerate(texts):
+            for a in range(0, max(1, len(t)), PORTION):
+                part = t[max(0, a - 2) : a + PORTION]
+                parts.append(part)
+                owner.append(i)
+                size += len(part)
+                if size >= PORTION:
+                    flush()
+        flush()
+        return out
+
     def compare(self, texts: list[str]) -> np.ndarray:
         """Cosine of each text with each prototype."""
-        v = self.vectors(texts)
-        n = np.linalg.norm(v, axis=1, keepdims=True)
-        return (v @ self.prototypes.T) / np.maximum(n, 1e-9)
+        got = [np.zeros((0, len(self.prototypes)), dtype=np.float32)]
+        for a in range(0, len(texts), 4096):
+            v = self.bundle(texts[a : a + 4096])
+            got.append((v @ self.prototypes.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9))
+        return np.concatenate(got)
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 6, passes: int = 30) -> np.ndarray:
@@ -162,7 +194,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, passes: int = 30
     ``passes`` times at most: short texts are where plain sums err.
     """
     prof = Profiles()
-    v = _unit(prof.vectors(texts))
+    v = _unit(prof.bundle(texts))
     now = np.array(labels)
     proto = np.zeros((len(LANGUAGES), DIM), dtype=np.float32)
     for _ in range(rounds):
@@ -182,7 +214,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, passes: int = 30
     if not known:
         return proto
     right = np.fromiter(known.values(), dtype=np.int64)
-    w = _unit(prof.vectors(list(known)))
+    w = _unit(prof.bundle(list(known)))
     for _ in range(passes):
         cos = w @ proto.T
         own = cos[np.arange(len(w)), right]

@@ -39,6 +39,7 @@ CONFUSIONS = (
     ("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("f", "t"), ("c", "e"), ("b", "h"), ("vv", "w"), ("c¸", "ç"), ("a~", "ã"), ("o~", "õ"), ("n~", "ñ"), ("m", "rn"), ("d", "cl"), ("ﬁ", "fi"), ("ﬂ", "fl"),
 )
 HYPHENS = "-¬\xad‐‑"
+ROWS_AT_ONCE = 50_000  # rows a worker holds before it hands them on; memory only
 RATIO = 5  # a misread spelling is at least this many times rarer than the right one,
 RATE = 0.01  # and no more frequent than misreading this share of it would make it, give or take three standard deviations
 ODD = r"[|¸~ﬁﬂ]|\p{L}\d|\d\p{L}"  # signs only a scanner writes into words: a bar, a loose mark, a ligature, a digit beside a letter
@@ -235,6 +236,10 @@ def _once(masters: DataFrame) -> DataFrame:
 _SCAN = pa.schema([("master_id", pa.int64()), ("line_no", pa.int64()), ("kind", pa.string()), ("word", pa.string()), ("rest", pa.string()), ("rest_no", pa.int64()), ("n", pa.int64()), ("lines", pa.list_(pa.int32()))])
 
 
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCAN.types)], schema=_SCAN)
+
+
 def scan(masters: DataFrame) -> DataFrame:
     """(master_id, line_no, kind, word, rest, rest_no, n, lines): what one pass over each work finds.
 
@@ -264,8 +269,11 @@ def scan(masters: DataFrame) -> DataFrame:
                     if "-" in x:
                         rows += [(k, i + 1, "pair", m.group().lower(), None, None, 1, None) for m in _PAIR.finditer(x)]
                 rows += [(k, i + 1, "cut", h.lower(), r.lower(), j + 1, 1, None) for i, j, h, r in broken]
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield _packed(rows)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCAN.types)], schema=_SCAN)
+                yield _packed(rows)
 
     once = _once(masters).select(F.col("master_id").cast("long").alias("master_id"), "titulo", "corpo")
     return once.mapInArrow(run, "master_id long, line_no long, kind string, word string, rest string, rest_no long, n long, lines array<int>")
