@@ -97,6 +97,35 @@ def test_average_linkage_by_hand():
     assert names.average_linkage(np.zeros((1, 1)), 0.3) == [[0]]
 
 
+ONE_PERSON = ["BARPANGA, Joaquim Luís Zampessa da", "J. L. Zampessa da Barpanga", "barpanga, joaquim zampessa", "Prof. Joaquim Zampesa da Barpanga", "Quim Zampessa"]
+ANOTHER = ["BARPANGA, Mariana Zampessa da", "Mari Zampessa da Barpanga"]
+
+
+def test_a_large_component_keeps_its_weak_links(spark):
+    """Initials and short forms (similarity under 0.85) stay in a component of 1,550 names, and the other person stays apart."""
+    spellings = [(k, n) for k, g in enumerate((ONE_PERSON, ANOTHER)) for n in g]
+    rows = [(1 + i * len(spellings) + j, n) for i in range(310) for j, (_, n) in enumerate(spellings)]
+    person = dict((n, k) for k, n in spellings)
+    got = names.groups(spark.createDataFrame(rows, "name_id bigint, nome string")).collect()
+    assert {(r["group_id"], person[r["nome"]]) for r in got} == {(1, 0), (1 + len(ONE_PERSON), 1)} and len(got) == len(rows)
+
+
+def test_groups_by_joins_are_those_of_one_task_and_of_the_definition(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 60
+    sim = np.where(rng.random((n, n)) < 0.25, np.round(rng.uniform(0.3, 1, (n, n)), 4), -1.0)
+    sim = np.triu(sim, 1) + np.triu(sim, 1).T
+    rows = [(int(i), int(j), float(sim[i, j]), 1, 1) for i in range(n) for j in range(i + 1, n) if sim[i, j] > 0]
+    edges = spark.createDataFrame(rows, "a bigint, b bigint, sim double, weight_a bigint, weight_b bigint")
+    want = {min(g): sorted(g) for g in names.average_linkage(sim, 0.3) if len(g) > 1}
+    for local in (names.LOCAL, 3):
+        monkeypatch.setattr(names, "LOCAL", local)
+        got: dict[int, list[int]] = {}
+        for r in names.linkage(edges, 0.3).collect():
+            got.setdefault(r["into"], []).append(r["node"])
+        assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 3
+
+
 # ------------------------------------------------------------------ 4 pieces
 
 LIMITS = "tipo_fonte string, alvo bigint, teto bigint, sobreposicao bigint"
