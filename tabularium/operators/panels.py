@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabularium.functions import dims
 from tabularium.functions.text import is_blank
 from tabularium.operators.notes import once
+from tabularium.sources.tables import cut
 
 COLUMNS = ("stem", "tipo", "status", "confiabilidade", "autoria", "ano", "mtime", "parte", "area", "tags")
 
@@ -42,6 +43,20 @@ def recent(b: DataFrame, today: str, days: int = 30) -> DataFrame:
     return b.where(F.col("mtime") >= F.date_sub(F.to_date(F.lit(today)), days)).select("note_id", "stem", "tipo", "mtime")
 
 
+def ordered(b: DataFrame) -> DataFrame:
+    """``pos`` of every note within its kind: latest year first, then by stem; all rows are kept.
+
+    A kind may hold most notes, so there is no window over a kind: a range sort,
+    then offsets of each kind in each partition.
+    """
+    keys = ["tipo", F.col("ano").desc_nulls_last(), "stem", "note_id"]
+    s = cut(b.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()))
+    first = s.groupBy(F.col("tipo").alias("t"), F.col("p").alias("q")).agg(F.min("i").alias("i0"), F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("t").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.broadcast(first.withColumn("before", before))
+    return s.join(start, F.col("tipo").eqNullSafe(F.col("t")) & (F.col("p") == F.col("q"))).withColumn("pos", F.col("i") - F.col("i0") + 1 + F.col("before")).drop("p", "i", "t", "q", "i0", "c", "before")
+
+
 def health(b: DataFrame) -> DataFrame:
     return b.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

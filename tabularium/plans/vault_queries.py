@@ -157,13 +157,10 @@ def c31(spark, d):
 
 @query("O10_panel_order", f"with {R._BOARD}, x as (select note_id, tipo, ano, row_number() over (partition by tipo order by ano desc nulls last, stem)::bigint pos from b where status = 'Vigente') select * from x where pos <= 20")
 def o10(spark, d):
-    from pyspark.sql import Window
-
     from tabularium.operators import panels as P
 
     b = P.board(table(spark, d, "notes")).where("status = 'Vigente'")
-    w = Window.partitionBy("tipo").orderBy(F.col("ano").desc_nulls_last(), "stem")
-    return b.withColumn("pos", F.row_number().over(w).cast("long")).where("pos <= 20").select("note_id", "tipo", "ano", "pos")
+    return P.ordered(b).select("note_id", "tipo", "ano", "pos")
 
 
 @query("A12_layer_counts", f"with {masters('titulo', 'converted_at', 'corpo')}, t as (select titulo, max(mtime) mtime from notes where titulo is not null group by 1), s as (select case when t.titulo is null then 'absent' when m.converted_at > t.mtime then 'stale' else 'fresh' end state from m left join t using (titulo)) select state, count(*)::bigint n from s group by 1")

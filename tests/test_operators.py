@@ -204,3 +204,15 @@ def test_pages_are_taken_apart_and_put_together(spark):
     p = V.pages(m)
     assert sorted((r["page"], r["text"]) for r in p.collect()) == [("1", "um\ndois"), ("2", "três")]
     assert V.assemble(p).first()["texto"] == "{{p.1}}\n\num\ndois\n\n{{p.2}}\n\ntrês"
+
+
+def test_panel_order_keeps_every_row(spark, note_rows, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [{"note_id": i, "stem": f"s{i:03}", "tipo": "Doutrina" if i % 5 else None, "ano": str(1990 + i % 7) if i % 4 else None, "status": "Vigente"} for i in range(60)]
+    note_rows(*rows, {"note_id": 99, "stem": "x", "tipo": "Doutrina", "status": "Revogado"}).write.parquet(f"{tmp_path}/notes.parquet")
+    want = []
+    for kind in ("Doutrina", None):
+        own = sorted((r for r in rows if r["tipo"] == kind), key=lambda r: (-int(r["ano"] or 0), r["stem"]))
+        want += [(r["note_id"], kind, r["ano"], k) for k, r in enumerate(own, 1)]
+    assert sorted(map(tuple, entry.queries()["O10_panel_order"](spark, str(tmp_path)).collect())) == sorted(want)
