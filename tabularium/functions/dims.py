@@ -52,12 +52,26 @@ NOTABLE = (
     ("lei", "5172"), ("lei", "10406"), ("lei", "13105"), ("lei", "6830"), ("lei", "8078"), ("lei", "8429"),
     ("lei", "9784"), ("lei", "12016"), ("lei", "4320"), ("lei", "8666"), ("lei", "14133"), ("decreto", "70235"),
 )
-# signs in a text's content that tell its source type, with their weight
+# signs in a text's content that tell its source type, with their weight; matched whatever the case
 CONTENT_RULES = (
     (r"\bLEI\s+N[ºo°\.]", "legislacao", 2), (r"\bDECRETO(-LEI)?\s+N[ºo°\.]", "legislacao", 2), (r"\bMEDIDA\s+PROVIS[ÓO]RIA\b", "legislacao", 2),
+    (r"PRESID[ÊE]NCIA\s+DA\s+REP[ÚU]BLICA", "legislacao", 2), (r"O\s+CONGRESSO\s+NACIONAL\s+decreta", "legislacao", 2),
     (r"\bArt\.\s*1[ºo°]", "legislacao", 1), (r"\bAC[ÓO]RD[ÃA]O\b", "jurisprudencia", 2), (r"\bRELATOR[A]?\s*:", "jurisprudencia", 2),
-    (r"\bEMENTA\s*:", "jurisprudencia", 1), (r"\d{7}-?\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}", "jurisprudencia", 2), (r"\bISBN\b", "livro", 2),
+    (r"\bEMENTA\s*:", "jurisprudencia", 1),
+    (r"RECURSO\s+ESPECIAL|APELA[ÇC][ÃA]O\s+C[ÍI]VEL|AGRAVO\s+DE\s+INSTRUMENTO|HABEAS\s+CORPUS", "jurisprudencia", 2),
+    (r"\d{7}-?\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}", "jurisprudencia", 2), (r"\bISBN\b", "livro", 2), (r"©|\bCopyright\b", "livro", 1),
     (r"\bSum[áa]rio\b", "livro", 1), (r"\bPref[áa]cio\b", "livro", 1), (r"\bDOI\s*:", "artigo_periodico", 2), (r"\bAbstract\b|\bResumo\s*:", "artigo_periodico", 1),
+    (r"\bPORTARIA\s+N[ºo°\.]|\bINSTRU[ÇC][ÃA]O\s+NORMATIVA|\bRESOLU[ÇC][ÃA]O\s+N[ºo°\.]", "ato_administrativo", 2),
+    (r"EXCELENT[ÍI]SSIMO|Nestes\s+termos,?\s+pede\s+deferimento", "peca_interna", 2),
+)
+# parts of a document's name that tell its source type; a group counts once
+NAME_RULES = (
+    (("acordao", "acórdão", "resp ", "resp-", "agravo", "apela", "habeas", "sumula", "súmula", "jurisprud"), "jurisprudencia"),
+    (("lei", "decreto", "codigo", "código", "constituic", "medida-provisoria", "emenda"), "legislacao"),
+    (("portaria", "instrucao-normativa", "instrução", "resolucao", "resolução", "edital", "parecer", "oficio", "ofício"), "ato_administrativo"),
+    (("tese", "dissertacao", "dissertação", "monografia", "tcc"), "trabalho_academico"),
+    (("artigo", "revista", "periodico", "periódico"), "artigo_periodico"),
+    (("peticao", "petição", "contestacao", "contestação", "recurso", "minuta", "contrato"), "peca_interna"),
 )
 
 

@@ -216,3 +216,18 @@ def test_panel_order_keeps_every_row(spark, note_rows, tmp_path):
         own = sorted((r for r in rows if r["tipo"] == kind), key=lambda r: (-int(r["ano"] or 0), r["stem"]))
         want += [(r["note_id"], kind, r["ano"], k) for k, r in enumerate(own, 1)]
     assert sorted(map(tuple, entry.queries()["O10_panel_order"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_source_type_from_name_and_text(spark):
+    from tabularium.operators.triage import inferred_type
+
+    rows = [
+        (1, "obra-1", "conforme a Lei nº 77"), (2, "obra-2", "Ementa: nada mais"), (3, "lei-77", "LEI Nº 77"), (4, "revista-2", "Acórdão. Relatora: X"), (5, "obra-5", "Acórdão. Relator: X"),
+        (6, "Tese de A", None), (7, None, "nada"), (8, "obra-8", "o congresso nacional DECRETA e a presidência da república"), (9, "obra-9", "isbn 1 © habeas corpus"), (10, "obra", "Excelentíssimo senhor"),
+        (11, "minuta", "portaria nº 3"), (1, "obra-1", "conforme a Lei nº 77"), (None, "lei", "x"),
+    ]
+    got = {r["doc_id"]: tuple(r)[1:] for r in inferred_type(spark.createDataFrame(rows, "doc_id bigint, obra string, text string")).collect()}
+    assert got == {
+        1: ("legislacao", 2, "media"), 2: ("", 1, "baixa"), 3: ("legislacao", 4, "alta"), 4: ("jurisprudencia", 4, "media"), 5: ("jurisprudencia", 4, "alta"), 6: ("trabalho_academico", 2, "media"), 7: ("", 0, "baixa"),
+        8: ("legislacao", 4, "alta"), 9: ("livro", 3, "media"), 10: ("peca_interna", 2, "media"), 11: ("peca_interna", 2, "media"),
+    }
