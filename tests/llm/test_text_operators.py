@@ -126,6 +126,13 @@ def test_groups_by_joins_are_those_of_one_task_and_of_the_definition(spark, monk
         assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 3
 
 
+def test_every_name_has_a_row_with_its_links(spark):
+    rows = [(5, "BARPANGA, Joaquim Luís Zampessa da"), (3, "barpanga, joaquim luis zampessa"), (7, "Joaquim L. Zampessa da Barpanga"), (9, "Xuntra, Otávio"), (11, "X."), (12, "X."), (13, " ")]
+    df = spark.createDataFrame(rows, "name_id bigint, nome string")
+    assert sorted((r["name_id"], r["group_id"], r["links"]) for r in names.groups(df).collect()) == [(3, 3, 2), (5, 3, 2), (7, 3, 2), (9, 9, 0), (11, 11, 0), (12, 12, 0)]
+    assert sorted(tuple(r) for r in names.found(df).collect()) == [(3, 5), (3, 7), (5, 7)]
+
+
 # ------------------------------------------------------------------ 4 pieces
 
 LIMITS = "tipo_fonte string, alvo bigint, teto bigint, sobreposicao bigint"
