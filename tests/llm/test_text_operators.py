@@ -133,6 +133,13 @@ def test_every_name_has_a_row_with_its_links(spark):
     assert sorted(tuple(r) for r in names.found(df).collect()) == [(3, 5), (3, 7), (5, 7)]
 
 
+def test_copies_of_a_name_are_compared_once(spark):
+    rows = [(i, ("BARPANGA, Joaquim Zampessa", "Joaquim Zampessa Barpanga", "Joaquim Zampesa Barpanga")[i % 3]) for i in range(300)]
+    rows += [(1000 + i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 4}, Otávio") for i in range(600)]
+    alike = names.forms(spark.createDataFrame(rows, "name_id bigint, nome string"))
+    assert [(r["a"], r["b"], r["weight_a"] + r["weight_b"]) for r in names.similar(alike).where("b < 1000").collect()] == [(0, 2, 300)]
+
+
 # ------------------------------------------------------------------ 4 pieces
 
 LIMITS = "tipo_fonte string, alvo bigint, teto bigint, sobreposicao bigint"
