@@ -509,7 +509,7 @@ def j08(spark, d):
 
 @query("F11_identifier_text", r"with m as (select distinct label, num from mentions where label is not null and num is not null) select label, num, label || ' ' || case when label = 'processo' or length(num) <= 3 then num else reverse(regexp_replace(reverse(num), '(\d{3})(\d)', '\1.\2')) end shown from m where length(num) <= 6 or label = 'processo'")
 def f11(spark, d):
-    m = _t(spark, d, "mentions").where("label is not null and num is not null").select("label", "num").distinct().where("length(num) <= 6 or label = 'processo'")
+    m = _t(spark, d, "mentions").where("label is not null and num is not null").select("label", "num").distinct()
     return m.select("label", "num", K.label_text(F.col("label"), F.col("num")).alias("shown"))
 
 

@@ -231,3 +231,11 @@ def test_source_type_from_name_and_text(spark):
         1: ("legislacao", 2, "media"), 2: ("", 1, "baixa"), 3: ("legislacao", 4, "alta"), 4: ("jurisprudencia", 4, "media"), 5: ("jurisprudencia", 4, "alta"), 6: ("trabalho_academico", 2, "media"), 7: ("", 0, "baixa"),
         8: ("legislacao", 4, "alta"), 9: ("livro", 3, "media"), 10: ("peca_interna", 2, "media"), 11: ("peca_interna", 2, "media"),
     }
+
+
+def test_long_identifiers_are_shown(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([("lei", "1234567"), ("lei", "1234567890"), ("lei", "12"), ("processo", "12345678")], "label string, num string").write.parquet(f"{tmp_path}/mentions.parquet")
+    got = {r["shown"] for r in entry.queries()["F11_identifier_text"](spark, str(tmp_path)).collect()}
+    assert got == {"lei 1.234.567", "lei 1.234.567.890", "lei 12", "processo 12345678"}
