@@ -392,16 +392,23 @@ def c14(spark, d):
 _TOK = r"t as (select doc_id, word, count(*) n from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) word from documents) group by all)"
 
 
-@query("C03_language", rf"""with {_TOK}, tot as (select doc_id, sum(n) total from t group by 1 having sum(n) >= 30),
+_LANG = rf"""with {_TOK}, tot as (select doc_id, sum(n) total from t group by 1 having sum(n) >= 30),
 df as (select lang, word, count(*) df from (select distinct lang, doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) word from documents where lang is not null) group by all),
-top as (select lang, word from (select *, row_number() over (partition by lang order by df desc, word) r from df) where r <= 40), lw as (select lang, word, 1.0::double / count(*) over (partition by word) w from top),
-s as (select doc_id, lang, round(sum(n * w) / any_value(total), 6) score from t join lw using (word) join tot using (doc_id) group by doc_id, lang),
-r as (select *, row_number() over (partition by doc_id order by score desc, lang) r, coalesce(lead(score) over (partition by doc_id order by score desc, lang), 0) nx from s)
-select doc_id, lang idioma, score, round(score - nx, 6) < 0.05 ambiguous from r where r = 1""")
+top as (select lang, word from (select *, row_number() over (partition by lang order by df desc, word) r from df) where r <= 40), lw as (select lang, word, (27720 // count(*) over (partition by word))::bigint w from top),
+s as (select doc_id, lang, ((2000000 * sum(n * w)::bigint + 27720 * any_value(total)::bigint) // (2 * 27720 * any_value(total)::bigint))::bigint score from t join lw using (word) join tot using (doc_id) group by doc_id, lang),
+r as (select *, row_number() over (partition by doc_id order by score desc, lang) r, coalesce(lead(score) over (partition by doc_id order by score desc, lang), 0) nx from s)"""
+
+
+@query("C03_language", f"{_LANG} select doc_id, lang idioma, score / 1000000.0::double score, score - nx < 50000 ambiguous from r where r = 1")
 def c03(spark, d):
     return L.detect(_t(spark, d, "documents"))
 
 
+@query("O08_top_languages", f"{_LANG} select doc_id, r::bigint rk, lang idioma, score / 1000000.0::double score from r where r <= 3")
+def o08(spark, d):
+    return L.top(_t(spark, d, "documents"))
+
+
 # ---------------------------------------------------------------- identifiers, relations, hubs
 
 
