@@ -220,13 +220,32 @@ def j13(spark, d):
     return m.join(n, "titulo", "left").select("master_id", F.when(F.col("there").isNull(), "absent").when(F.col("converted_at") > F.col("mtime"), "stale").otherwise("fresh").alias("state"))
 
 
-# the SQL has these rules only, and minds the case; the query has all
-_SQL_WITHOUT = (3, 4, 9, 12, 17, 18)
-_RULES = [(i, p, t, w) for i, (p, t, w) in enumerate(r for k, r in enumerate(dims.CONTENT_RULES) if k not in _SQL_WITHOUT)]
-_rx = lambda p: p.replace("'", "''")
+# the rules in RE2: what counts as letter, digit and space is Unicode's, as in the query
+_WORD, _SPACE = r"\p{L}\p{M}\p{N}\p{Pc}", r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-@query("J15_C01_inferred_source", "with s as (" + " union all ".join(f"select doc_id, '{t}' tf, {w} w, {i} o from documents where regexp_matches(text, '{_rx(p)}')" for i, p, t, w in _RULES) + "), g as (select doc_id, tf, sum(w) score, min(o) o from s group by all) select doc_id, arg_min(tf, (-score, o)) tipo_fonte, max(score)::bigint score from g group by doc_id")
+def _re2(p: str) -> str:
+    p = p.replace(r"\s", f"[{_SPACE}]").replace(r"\d", r"\p{Nd}")
+    out = []
+    for alt in p.split("|") if "(" not in p else [p]:
+        alt = f"(?:^|[^{_WORD}])" + alt[2:] if alt.startswith(r"\b") else alt
+        out.append(alt[:-2] + f"(?:$|[^{_WORD}])" if alt.endswith(r"\b") else alt)
+    return "(?i)" + "|".join(out).replace(r"|\b", f"|(?:^|[^{_WORD}])").replace("'", "''")
+
+
+_HITS = " union ".join(
+    ["select doc_id, {i} o, '{t}' tf, 2 w, true named from d where {c}".format(i=i, t=t, c=" or ".join(f"contains(lower(obra), '{k}')" for k in keys)) for i, (keys, t) in enumerate(dims.NAME_RULES)]
+    + [f"select doc_id, {len(dims.NAME_RULES) + i}, '{t}', {w}, false from d where regexp_matches(text, '{_re2(p)}')" for i, (p, t, w) in enumerate(dims.CONTENT_RULES)]
+)
+
+
+@query("J15_C01_inferred_source", f"""with d as (select * from documents where doc_id is not null), h as ({_HITS}),
+g as (select doc_id, tf, sum(w) score, min(o) o, coalesce(sum(w) filter (where named), 0) nm, coalesce(sum(w) filter (where not named), 0) tx from h group by all),
+b as (select * from (select *, row_number() over (partition by doc_id order by score desc, o) r, sum(nm) over (partition by doc_id) anm, sum(tx) over (partition by doc_id) atx from g) where r = 1),
+i as (select distinct doc_id from d)
+select i.doc_id, case when score >= 2 then tf else '' end tipo_fonte, coalesce(score, 0)::bigint score,
+ case when coalesce(score, 0) < 2 then 'baixa' when nm > 0 and tx > 0 then 'alta' when anm > 0 and atx > 0 and nm = 0 then 'media' when tx >= 4 then 'alta' else 'media' end confianca
+from i left join b using (doc_id)""")
 def j15(spark, d):
     return inferred_type(_t(spark, d, "documents"))
 
@@ -514,7 +533,7 @@ def j08(spark, d):
     return one.join(one.withColumnRenamed("work", "other"), ["label", "num"]).where("work < other").groupBy("work", "other").agg(F.count(F.lit(1)).alias("common"))
 
 
-@query("F11_identifier_text", r"with m as (select distinct label, num from mentions where label is not null and num is not null) select label, num, label || ' ' || case when label = 'processo' or length(num) <= 3 then num else reverse(regexp_replace(reverse(num), '(\d{3})(\d)', '\1.\2')) end shown from m where length(num) <= 6 or label = 'processo'")
+@query("F11_identifier_text", r"with m as (select distinct label, num from mentions where label is not null and num is not null) select label, num, label || ' ' || case when label = 'processo' or length(num) <= 3 then num else ltrim(reverse(regexp_replace(reverse(num), '(\d{3})', '\1.', 'g')), '.') end shown from m")
 def f11(spark, d):
     m = _t(spark, d, "mentions").where("label is not null and num is not null").select("label", "num").distinct()
     return m.select("label", "num", K.label_text(F.col("label"), F.col("num")).alias("shown"))

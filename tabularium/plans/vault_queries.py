@@ -155,7 +155,7 @@ def c31(spark, d):
     return N.once(table(spark, d, "notes"), "status").join(hit, "note_id").where(~F.col("status").eqNullSafe("A-conferir")).select("note_id", F.col("status").alias("was"))
 
 
-@query("O10_panel_order", f"with {R._BOARD}, x as (select note_id, tipo, ano, row_number() over (partition by tipo order by ano desc nulls last, stem)::bigint pos from b where status = 'Vigente') select * from x where pos <= 20")
+@query("O10_panel_order", f"with {R._BOARD}, x as (select note_id, tipo, ano, row_number() over (partition by tipo order by ano desc nulls last, stem)::bigint pos from b where status = 'Vigente') select * from x")
 def o10(spark, d):
     from tabularium.operators import panels as P
 
