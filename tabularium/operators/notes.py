@@ -15,8 +15,17 @@ ACCENTED, PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñÁÀÂÃÄ
 
 
 def once(notes: DataFrame, *cols: str) -> DataFrame:
-    """One row per note_id with the columns asked for; a note delivered twice counts once. Null ids are left out."""
-    return notes.where("note_id is not null").groupBy("note_id").agg(*[F.max(c).alias(c) for c in cols])
+    """One row per note_id with the columns asked for: the last delivery, whole. Null ids are left out.
+
+    Deliveries of one time (or of none, where the table doesn't keep it) are
+    told apart by the columns themselves, the greatest first.
+    """
+    rows = notes.where("note_id is not null")
+    if "ingested_at" in notes.columns:
+        last = F.max(F.struct(F.col("ingested_at").alias("__at"), *cols))
+    else:
+        last = F.max(F.struct(*cols))
+    return rows.groupBy("note_id").agg(last.alias("__n")).select("note_id", *[F.col(f"__n.{c}").alias(c) for c in cols])
 
 
 def plain(c: Column) -> Column:

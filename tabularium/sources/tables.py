@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share; set only where the session names none (tests)."""
+    """Folder all executors share: spark.checkpoint.dir, else the checkpoint folder that was set.
+
+    Where neither is there, a local master gets a temporary folder of its own; a
+    cluster is refused, as its nodes would each write to their own disk.
+    """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not where:
         found = sc._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all nodes share")
         where = found.get() if found.isDefined() else os.path.join(tempfile.gettempdir(), f"tabularium-{os.getpid()}")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)

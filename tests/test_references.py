@@ -77,6 +77,18 @@ def test_link_forms_nulls_and_empty(spark, note_rows):
     assert R.found(big, none).count() == 2500
 
 
+def test_a_count_that_cant_be_meant(spark, note_rows):
+    n = note_rows(
+        {"note_id": 1, "stem": "B_INDICE", "partes": "999999999999", "ingested_at": T0},
+        {"note_id": 2, "stem": "B_p03", "obra": "[[B_INDICE]]", "parte": "3", "ingested_at": T0},
+        {"note_id": 3, "stem": "B_p1500", "obra": "[[B_INDICE]]", "parte": "1500", "ingested_at": T0},
+    )
+    gone = spark.createDataFrame([("B_p02", T0), ("B_p2000", T0), ("B_p002", T0)], "stem string, removed_at timestamp_ntz")
+    assert sorted(tuple(r)[2:] for r in R.gaps(n, gone).collect()) == [(1, 2), (4, 1499), (1501, 999999999999)]
+    got = [(r["parte"], r["caso"]) for r in R.found(n, gone).collect()]
+    assert len(got) == 2 + 1496 + 1 + 1 and {(2, "deleted"), (2000, "deleted"), (999999999999, "missing"), (1, "missing")} <= set(got)
+
+
 def test_summary_counts(spark, note_rows):
     rows = [{"note_id": i, "stem": f"s{i}", "obra": "[[gone]]", "parte": "1", "ingested_at": T0} for i in range(5)]
     s = R.summary(R.found(note_rows(*rows, *rows), spark.createDataFrame([], "stem string, removed_at timestamp_ntz"))).collect()
