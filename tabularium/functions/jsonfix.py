@@ -1,60 +1,55 @@
-"""JSON answers written by hand or machine: found in surrounding text, and mended where quotes or breaks are loose."""
+"""JSON answers written by hand or machine: found in surrounding text, and mended where quotes or breaks are loose.
+
+Whether a text is JSON is for the JVM to say (``try_parse_json``); only texts
+that aren't go to Python, where one pattern finds the strings. A string ends at
+the first quote behind which the JSON can go on: after a value of an object
+another name with a colon, after an item of a list another value, or brackets
+that close. Quotes before that are part of the text.
+"""
 
 from __future__ import annotations
 
-import json
 import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_CLOSE = r"[}\]]\s*(?:[,}\]]|$)"
+_STRING = re.compile(
+    r'([{,]\s*)"([^"\n]*)"(?=\s*:)'  # a name: no loose quotes in it
+    rf'|(:\s*)"((?:\\.|[^\\])*?)"(?=\s*(?:{_CLOSE}|,\s*"[^"\n]*"\s*:|$))'
+    rf'|([\[,]\s*)"((?:\\.|[^\\])*?)"(?=\s*(?:{_CLOSE}|,\s*(?:["\[{{\d-]|true\b|false\b|null\b)|$))',
+    re.S,
+)
+_LOOSE = re.compile(r'\\.|["\n\r\t]', re.S)
+_SIGNS = {'"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
 
 def mend(text: str) -> str:
-    """Inner quotes and raw line breaks inside strings escaped; a quote closes a string only before , : } ] or the end."""
-    out, inside, i = [], False, 0
-    while i < len(text):
-        c = text[i]
-        if not inside:
-            inside = c == '"'
-            out.append(c)
-        elif c == "\\" and i + 1 < len(text):
-            out.append(text[i : i + 2])
-            i += 1
-        elif c == '"':
-            closes = re.match(r"\s*(?:[,:}\]]|$)", text[i + 1 :])
-            out.append('"' if closes else '\\"')
-            inside = not closes
-        elif c in "\n\r\t":
-            out.append({"\n": "\\n", "\r": "\\r", "\t": "\\t"}[c])
-        else:
-            out.append(c)
-        i += 1
-    return "".join(out)
-
-
-def candidates(text: str) -> list[str]:
-    """Where the JSON may be, the plainest first: the text, without fences, from the first brace to the last; then each mended."""
-    bare = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", text)
-    a, b = text.find("{"), text.rfind("}")
-    plain = [text, bare, *([text[a : b + 1]] if 0 <= a < b else [])]
-    return plain + [mend(x) for x in plain]
-
-
-def recover(text: str | None) -> str | None:
-    """The JSON object in ``text`` in plain form, None if there is none."""
-    if not isinstance(text, str):
-        return None
-    for c in candidates(text):
-        try:
-            got = json.loads(c)
-        except ValueError:
-            continue
-        if isinstance(got, (dict, list)):
-            return json.dumps(got, ensure_ascii=False, sort_keys=True)
-    return None
+    """``text`` with the quotes and line breaks inside its strings escaped."""
+
+    def string(m: re.Match) -> str:
+        before, body = next((m[i], m[i + 1]) for i in (1, 3, 5) if m[i] is not None)
+        return f'{before}"{_LOOSE.sub(lambda x: _SIGNS.get(x[0], x[0]), body)}"'
+
+    return _STRING.sub(string, text)
+
+
+def _plain(c: Column) -> Column:
+    """An object or list as plain JSON; null for other texts."""
+    return F.when(c.rlike(r"^\s*[\[{]"), F.to_json(F.try_parse_json(c)))
 
 
 def recover_json(c: Column) -> Column:
-    """Column form of ``recover``: plain JSON to be read by from_json, null where there is none."""
-    return F.pandas_udf(lambda s: pd.Series([recover(x) for x in s]), "string")(c)
+    """The JSON object or list in a text, as plain JSON with sorted names; null where there is none.
+
+    Tried in this order: the whole text, the text without code fences, and from
+    the first brace to the last; then the same mended. Null texts give null.
+    """
+    bare = F.regexp_replace(c, r"^\s*```\w*\s*|\s*```\s*$", "")
+    braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    plain = F.coalesce(_plain(c), _plain(bare), _plain(braces))
+    mended = F.pandas_udf(lambda s: s.map(mend, na_action="ignore"), "string")
+    spoilt = lambda x: mended(F.when(plain.isNull(), x))
+    return F.coalesce(plain, _plain(spoilt(c)), _plain(spoilt(bare)), _plain(spoilt(braces)))

@@ -1,112 +1,144 @@
-"""Front matter at the head of a note: read into a map of tagged values, written back, updated field by field."""
+"""Front matter at the head of a note: read into a map of tagged values, written, and updated field by field.
 
-from __future__ import annotations
+All of it is column expressions. Only the head goes through the reader: one
+pattern takes it apart into entries (a name with whatever lines continue it),
+the entries are sorted by name and place so that the last of a name is its
+neighbour's end, and each is typed by what its value looks like.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OPEN = re.compile(r"^---[^\S\n]*\n(.*?)\n---[^\S\n]*\n", re.S)
-_ITEM = re.compile(r"\"([^\"]*)\"|'([^']*)'")
-SCHEMA = "map<string, struct<kind: string, s: string, b: boolean, l: array<string>>>"
+from tabularium.functions.text import squeeze
 
-
-def _tag(value: object) -> dict:
-    if isinstance(value, list):
-        return {"kind": "list", "s": None, "b": None, "l": value}
-    if isinstance(value, bool):
-        return {"kind": "bool", "s": None, "b": value, "l": None}
-    return {"kind": "null" if value is None else "string", "s": value, "b": None, "l": None}
-
-
-def read(text: str) -> tuple[dict[str, object], str, bool]:
-    """(fields, body, present). The last of repeated keys counts; `` #`` opens a comment; nesting isn't read."""
-    m = _OPEN.match(text)
-    if not m:
-        return {}, text, False
-    fields: dict[str, object] = {}
-    rest = m.group(1).splitlines()
-    while rest:
-        line = rest.pop(0)
-        name, colon, value = line.partition(":")
-        if not line.strip() or line.lstrip().startswith("#") or not colon:
-            continue
-        name, value = name.strip(), value.split(" #")[0].strip()
-        if value.rstrip("+-") in (">", "|") and value:
-            taken = []
-            while rest and (not rest[0].strip() or rest[0][0] in " \t"):
-                taken.append(rest.pop(0).strip())
-            fields[name] = (" " if value[0] == ">" else "\n").join(x for x in taken if x).strip()
-        elif not value and rest and rest[0].strip().startswith("["):
-            packed = ""
-            while rest:
-                packed += (line := rest.pop(0)).strip()
-                if "]" in line:
-                    break
-            fields[name] = [a or b for a, b in _ITEM.findall(packed)]
-        elif value.startswith("[") and value.endswith("]"):
-            quoted = _ITEM.findall(value[1:-1])
-            fields[name] = [a or b for a, b in quoted] if quoted else [x.strip() for x in value[1:-1].split(",") if x.strip()]
-        else:
-            value = value.strip('"').strip("'")
-            fields[name] = value.lower() == "true" if value.lower() in ("true", "false") else None if value.lower() in ("", "null", "~") else value
-    return fields, text[m.end() :], True
-
-
-def write(fields: dict[str, object]) -> str:
-    """Front matter text that ``read`` reads back to the same fields, for values without quotes of both kinds."""
-
-    def scalar(v: object) -> str:
-        if v is None:
-            return "null"
-        if isinstance(v, bool):
-            return "true" if v else "false"
-        s = str(v)
-        if s and s == s.strip() and not re.search(r"[:#\[\]{}\"'>|,&*!%@`\n]|^[-?]", s) and s.lower() not in ("true", "false", "null", "~"):
-            return s
-        return '"' + s.replace("\n", " ") + '"'
-
-    lines = [f"{k}: " + ("[" + ", ".join('"' + str(x) + '"' for x in v) + "]" if isinstance(v, list) else scalar(v)) for k, v in fields.items()]
-    return "---\n" + "".join(x + "\n" for x in lines) + "---\n"
-
-
-def update(text: str, name: str, value: object) -> str:
-    """``text`` with one field set: its line and continuation lines are replaced, or a line is added; comments stay."""
-    line = write({name: value}).split("\n")[1]
-    m = _OPEN.match(text)
-    if not m:
-        return f"---\n{line}\n---\n{text}"
-    out, skip, done = [], False, False
-    for x in m.group(1).splitlines():
-        if skip and (x[:1] in (" ", "\t") or x.startswith("- ")):
-            continue
-        skip = False
-        if x.partition(":")[0].strip() == name and ":" in x and not done:
-            out.append(line)
-            skip = done = True
-        else:
-            out.append(x)
-    if not done:
-        out.append(line)
-    return "---\n" + "\n".join(out) + "\n---\n" + text[m.end() :]
+SCHEMA = "map<string, struct<kind: string, s: string, b: boolean, l: array<string>>>"
+HEAD = r"(?s)\A---[^\S\n]*\n(.*?)\n---[^\S\n]*\n"
+_NOTE = r"(?: #[^\n]*)?"
+_ENTRY = (
+    r"(?md)^(?![^\S\n]*#)[^:\n]*:(?:"
+    rf"[^\S\n]*[>|][+-]*[^\S\n]*{_NOTE}(?=\n|\z)(?:\n(?:[ \t][^\n]*|[^\S\n]*(?=\n|\z)))*+"  # a block and its indented lines
+    rf"|[^\S\n]*{_NOTE}\n[^\S\n]*\[[^\]]*+(?:\][^\n]*)?"  # a list that begins on the next line
+    r"|[^\n]*)"
+)
+_QUOTED = r"\"[^\"]*\"|'[^']*'"
+_NEEDS_QUOTES = r"[:#\[\]{}\"'>|,&*!%@`]|^[-?]"
+
+
+def _inner(c: Column) -> Column:
+    """A text without its first and last character."""
+    return F.substring(c, F.lit(2), F.length(c) - 2)
+
+
+def _trimmed(c: Column, chars: str) -> Column:
+    return F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
+
+
+def _scalar(v: Column) -> Column:
+    """Text of a scalar: quotes off; where they enclose the whole value, what was escaped in it is put back."""
+    double = F.regexp_replace(_inner(v), r'\\(["\\])', "$1")
+    single = F.replace(_inner(v), F.lit("''"), F.lit("'"))
+    return F.when(v.rlike(r'^"(?:[^"\\]|\\.)*"$'), double).when(v.rlike(r"^'(?:[^']|'')*'$"), single).otherwise(_trimmed(_trimmed(v, '"'), "'"))
+
+
+def _typed(name: Column, v: Column, rest: Column) -> Column:
+    """The tagged value of one entry: v is its first line without comment, rest the lines that continue it."""
+    none, nothing, no_list = F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.lit(None).cast("array<string>")
+    make = lambda kind, s=none, b=nothing, ls=no_list: F.struct(name.alias("name"), F.struct(kind.alias("kind") if isinstance(kind, Column) else F.lit(kind).alias("kind"), s.alias("s"), b.alias("b"), ls.alias("l")).alias("value"))
+    taken = F.filter(F.transform(F.split(rest, "\n"), squeeze), lambda x: x != "")
+    block = F.array_join(taken, "\n")
+    folded = F.array_join(taken, " ")
+    items = lambda c: F.transform(F.regexp_extract_all(c, F.lit(f"({_QUOTED})"), F.lit(1)), _inner)
+    bare = F.filter(F.transform(F.split(_inner(v), ","), squeeze), lambda x: x != "")
+    text = _scalar(v)
+    low = F.lower(text)
+    return (
+        F.when(v.rlike(r"^>[+-]*$"), make("string", folded))
+        .when(v.rlike(r"^\|[+-]*$"), make("string", block))
+        .when((v == "") & (rest != ""), make("list", ls=items(F.array_join(F.transform(F.split(rest, "\n"), squeeze), ""))))
+        .when(v.rlike(r"(?s)^\[.*\]$"), make("list", ls=F.when(F.size(items(_inner(v))) > 0, items(_inner(v))).otherwise(bare)))
+        .when(low.isin("true", "false"), make("bool", b=low == "true"))
+        .when(low.isin("", "null", "~"), make("null"))
+        .otherwise(make("string", text))
+    )
+
+
+def fields(head: Column) -> Column:
+    """The fields of a head (the text between its two rules) as a map of tagged values.
+
+    The last of repeated names counts; `` #`` opens a comment; nesting isn't
+    read, and lines without a colon are left out. A null head has no fields.
+    """
+    entries = F.regexp_extract_all(F.coalesce(head, F.lit("")), F.lit(f"({_ENTRY})"), F.lit(1))
+    parted = F.transform(
+        entries,
+        lambda e, i: F.struct(
+            squeeze(F.split_part(e, F.lit(":"), F.lit(1))).alias("name"), i.alias("i"),
+            squeeze(F.regexp_replace(F.regexp_extract(e, r"^[^:]*:([^\n]*)", 1), " #.*$", "")).alias("v"), F.regexp_extract(e, r"(?s)^[^\n]*\n(.*)$", 1).alias("rest"),
+        ),
+    )
+    ordered = F.array_sort(parted)
+    # sorted by (name, place): the last of a name is the one that another name, or nothing, follows
+    last = F.filter(F.zip_with(ordered, F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b["name"].alias("after"))), lambda x: ~x["a"]["name"].eqNullSafe(x["after"]))
+    return F.map_from_entries(F.transform(last, lambda x: _typed(x["a"]["name"], x["a"]["v"], x["a"]["rest"])))
 
 
 def parse(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fm, body, has_fm): fields as tagged values; null texts give a null body and no fields."""
+    t = F.col(text)
+    has = F.coalesce(t.rlike(HEAD), F.lit(False))
+    return texts.select(key, fields(F.when(has, F.regexp_extract(t, HEAD, 1))).alias("fm"), F.when(has, F.regexp_replace(t, HEAD, "")).otherwise(t).alias("body"), has.alias("has_fm"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [read(t) if isinstance(t, str) else ({}, None, False) for t in b["t"]]
-            yield pd.DataFrame({key: b[key], "fm": [{k: _tag(v) for k, v in f.items()} for f, _, _ in got], "body": [x for _, x, _ in got], "has_fm": [x for _, _, x in got]})
 
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, fm {SCHEMA}, body string, has_fm boolean")
+def flat(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, campo, kind, valor): every field of the front matter as text; list items are joined by ``; ``."""
+    p = parse(texts, key, text).where("has_fm").select(key, F.explode("fm").alias("campo", "v"))
+    return p.select(key, "campo", "v.kind", F.coalesce("v.s", F.col("v.b").cast("string"), F.array_join("v.l", "; ")).alias("valor"))
 
 
 def scalars(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, campo, valor): scalar fields of the front matter, long form."""
-    p = parse(texts, key, text).where("has_fm")
-    return p.select(key, F.explode("fm").alias("campo", "v")).where("v.kind = 'string'").select(key, "campo", F.col("v.s").alias("valor"))
+    return flat(texts, key, text).where("kind = 'string'").select(key, "campo", "valor")
+
+
+def _quote(s: Column) -> Column:
+    double = F.concat(F.lit('"'), F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'))
+    return F.when(F.contains(s, F.lit('"')), F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(double)
+
+
+def line(name: str, value: Column, kind: str) -> Column:
+    """``name: value`` in the form that ``fields`` reads back to the same; kind is the column's type.
+
+    Quotes are set only where a value needs them. A text that holds `` #`` goes
+    into a block, as a comment would cut it; line breaks become spaces. In list
+    items that hold both kinds of quotes the double ones become single.
+    """
+    head = F.lit(f"{name}: ")
+    if kind == "boolean":
+        return F.concat(head, F.coalesce(value.cast("string"), F.lit("null")))
+    if kind.startswith("array"):
+        flat_item = lambda x: F.regexp_replace(x, r"[\r\n]+", " ")
+        both = lambda x: F.contains(x, F.lit('"')) & F.contains(x, F.lit("'"))
+        item = lambda x: F.when(both(x), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit("'")), F.lit('"'))).when(F.contains(x, F.lit('"')), F.concat(F.lit("'"), x, F.lit("'"))).otherwise(F.concat(F.lit('"'), x, F.lit('"')))
+        items = F.array_join(F.transform(F.transform(F.filter(value, lambda x: x.isNotNull()), flat_item), item), ", ")
+        return F.when(value.isNull(), F.concat(head, F.lit("null"))).when(F.contains(items, F.lit(" #")), F.concat(F.lit(f"{name}:\n  ["), items, F.lit("]"))).otherwise(F.concat(head, F.lit("["), items, F.lit("]")))
+    s = F.regexp_replace(value.cast("string"), r"[\r\n]+", " ")
+    plain = (s != "") & (s == squeeze(s)) & ~s.rlike(_NEEDS_QUOTES) & ~F.lower(s).isin("true", "false", "null", "~")
+    return F.when(s.isNull(), F.concat(head, F.lit("null"))).when(F.contains(s, F.lit(" #")), F.concat(head, F.lit(">\n  "), s)).otherwise(F.concat(head, F.when(plain, s).otherwise(_quote(s))))
+
+
+def written(df: DataFrame, columns: list[str]) -> Column:
+    """The front matter of each row: one entry a column, between its rules."""
+    kinds = dict(df.dtypes)
+    return F.concat(F.lit("---\n"), *[F.concat(line(c, F.col(c), kinds[c]), F.lit("\n")) for c in columns], F.lit("---\n"))
+
+
+def updated(text: Column, name: str, entry: Column) -> Column:
+    """``text`` with one field set to ``entry`` (from ``line``): it takes the place of the first field of that name
+    and of the lines that continue it, or is added at the end of the head; comments stay. Texts without a head get one."""
+    safe = F.regexp_replace(entry, r"([\\$])", r"\\$1")
+    own = rf"(?sd)\A(|.*?\n)[^\S\n]*\Q{name}\E[^\S\n]*:[^\n]*(?:\n(?:[ \t]|- )[^\n]*)*+"
+    head, body = F.regexp_extract(text, HEAD, 1), F.regexp_replace(text, HEAD, "")
+    new = F.when(head.rlike(own), F.regexp_replace(head, own, F.concat(F.lit("$1"), safe))).otherwise(F.concat_ws("\n", F.nullif(head, F.lit("")), entry))
+    return F.when(text.rlike(HEAD), F.concat(F.lit("---\n"), new, F.lit("\n---\n"), body)).otherwise(F.concat(F.lit("---\n"), entry, F.lit("\n---\n"), text))

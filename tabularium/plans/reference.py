@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabularium.functions import dims
+from tabularium.functions import dims, jsonfix
 from tabularium.functions.text import is_blank, words
 from tabularium.operators import anchors as A
 from tabularium.operators import clean as C
@@ -184,6 +184,18 @@ def n01(spark, d):
     return _t(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("N02_mended_json", """with n as (select distinct note_id, stem, titulo, tipo, area from notes where note_id is not null and stem is not null and titulo is not null and tipo is not null and area is not null)
+select note_id, stem, 'o termo "' || titulo || '", de fato' || chr(10) || 'diz "' || area || '": sim' resumo, tipo || ' "de" fato' first_item, note_id as n from n""")
+def n02(spark, d):
+    """Answers with loose quotes and line breaks, in a fence, read into columns."""
+    n = _t(spark, d, "notes").where("note_id is not null and stem is not null and titulo is not null and tipo is not null and area is not null").select("note_id", "stem", "titulo", "tipo", "area").distinct()
+    said = F.concat(
+        F.lit('Segue:\n```json\n{"stem": "'), "stem", F.lit('", "resumo": "o termo "'), "titulo", F.lit('", de fato\ndiz "'), "area", F.lit('": sim",\n "items": ["'), "tipo", F.lit(' "de" fato", "b"], "n": '), "note_id", F.lit("}\n```\n")
+    )
+    got = F.from_json(jsonfix.recover_json(said), "stem string, resumo string, items array<string>, n bigint")
+    return n.select("note_id", got.alias("j")).select("note_id", "j.stem", "j.resumo", F.get("j.items", F.lit(0)).alias("first_item"), "j.n")
+
+
 # ---------------------------------------------------------------- joins
 
 
@@ -408,6 +420,34 @@ def c14(spark, d):
     return FM.scalars(_t(spark, d, "documents"))
 
 
+_ROUND = ("titulo", "idioma", "area", "autoria", "resumo", "obra")
+_FLAT = ", ".join(f"""('{c}', case when {c} is null or lower({c}) in ('', 'null', '~') then 'null' else 'string' end, case when lower({c}) in ('', 'null', '~') then null else regexp_replace({c}, '[\\r\\n]+', ' ', 'g') end)""" for c in _ROUND)
+
+
+@query("F10_written_and_read", f"""with n as (select distinct note_id, has_fm, tags, {", ".join(_ROUND)} from notes where note_id is not null)
+select n.note_id, u.campo, u.kind, u.valor from n, lateral (values {_FLAT}, ('has_fm', case when has_fm is null then 'null' else 'bool' end, has_fm::varchar), ('tags', case when tags is null then 'null' else 'list' end, case when len(tags) = 0 then '' else list_aggregate(tags, 'string_agg', '; ') end)) u(campo, kind, valor)""")
+def f10(spark, d):
+    """The fields of the notes written as front matter and read back."""
+    cols = [*_ROUND, "has_fm", "tags"]
+    n = _t(spark, d, "notes").where("note_id is not null").select("note_id", *cols).distinct()
+    return FM.flat(cut(n.select("note_id", F.concat(FM.written(n, cols), F.lit("text")).alias("corpo"))), "note_id", "corpo")
+
+
+@query("C14_typed_fields", r"""with n as (select distinct note_id, has_fm, tags, titulo, resumo, idioma from notes where note_id is not null and titulo is not null and resumo is not null and tags is not null)
+select note_id, u.* from n, lateral (values ('titulo', 'string', titulo), ('resumo', 'string', trim(regexp_replace(resumo, '\s+', ' ', 'g'))), ('aberto', 'bool', coalesce(has_fm, false)::varchar), ('vazio', 'null', null),
+ ('tags', 'list', coalesce(list_aggregate(tags, 'string_agg', '; '), '')), ('areas', 'list', 'Civil; Penal'),
+ ('idioma', case when trim(coalesce(idioma, '')) = '[]' then 'list' when lower(trim(coalesce(idioma, ''))) in ('', 'null') then 'null' else 'string' end, case when trim(idioma) = '[]' then '' when lower(trim(idioma)) in ('', 'null') then null else trim(idioma) end)) u(campo, kind, valor)""")
+def c14b(spark, d):
+    """Heads in every form a reader meets: repeated names, comments, folded blocks, lists over lines, bare lists, other cases."""
+    n = _t(spark, d, "notes").where("note_id is not null and titulo is not null and resumo is not null and tags is not null").select("note_id", "has_fm", "tags", "titulo", "resumo", "idioma").distinct()
+    items = F.array_join(F.transform("tags", lambda x: F.concat(F.lit('  "'), x, F.lit('"'))), ",\n")
+    head = F.concat(
+        F.lit("---\ntitulo: not this\n# resumo: nor this\ntags:\n  [\n"), items, F.lit("\n  ]\nresumo: >-\n  "), F.regexp_replace(F.regexp_replace("resumo", r"\s+", " "), " ", "\n\n  "),
+        F.lit("\naberto: "), F.initcap(F.coalesce("has_fm", F.lit(False)).cast("string")), F.lit(" # yes or no\nareas: [ Civil , Penal,]\nno colon here\nvazio: ~\nidioma: "), F.coalesce("idioma", F.lit("")), F.lit("  # code\ntitulo: \""), F.col("titulo"), F.lit("\"\n---\ntext: x\n"),
+    )
+    return FM.flat(cut(n.select("note_id", head.alias("corpo"))), "note_id", "corpo")
+
+
 _TOK = r"t as (select doc_id, word, count(*) n from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) word from documents) group by all)"
 
 

@@ -79,27 +79,48 @@ def test_slices_hold_every_block_once(spark):
     ("---\na: 1\na: 2\n---\n", {"a": "2"}),
     ("---\r\ntitulo: \"Um\"\r\n---\r\nbody", {"titulo": "Um"}),
 ])
-def test_front_matter(text, want):
-    fields, body, present = FM.read(text)
-    assert present and fields == want
+def test_front_matter(spark, text, want):
+    got = FM.parse(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    value = lambda v: {"string": v["s"], "bool": v["b"], "list": v["l"], "null": None}[v["kind"]]
+    assert got["has_fm"] and {k: value(v) for k, v in got["fm"].items()} == want
 
 
 def test_front_matter_absent_update_and_round_trip(spark):
-    assert FM.read("no head") == ({}, "no head", False) and FM.read("---\na: 1\n---") == ({}, "---\na: 1\n---", False)
-    f = {"titulo": "Um: dois", "n": None, "ok": True, "area": ["Civil", "Água, Energia"]}
-    assert FM.read(FM.write(f) + "x")[0] == f
-    t = FM.update("---\na: [\n  x\n  ]\nb: 2\n# c\n---\nbody", "a", "new")
-    assert FM.read(t)[0] == {"a": "new", "b": "2"} and "# c" in t and t.endswith("body")
-    got = FM.parse(spark.createDataFrame([(1, "---\na: x\n---\nb"), (2, None), (3, "")], "doc_id bigint, text string")).orderBy("doc_id").collect()
-    assert got[0]["fm"]["a"]["s"] == "x" and [r["has_fm"] for r in got] == [True, False, False]
-
-
-def test_json_is_found_and_mended(spark):
-    assert jsonfix.recover('said ```json\n{"a": "he said "no" again"}\n```') == '{"a": "he said \\"no\\" again"}'
-    assert jsonfix.recover('{"a": "line\nbreak"}') == '{"a": "line\\nbreak"}'
-    assert jsonfix.recover("nothing") is None and jsonfix.recover(None) is None
-    df = spark.createDataFrame([('x {"k": 1} y',), (None,)], "t string").select(jsonfix.recover_json(F.col("t")).alias("j"))
-    assert [r["j"] for r in df.collect()] == ['{"k": 1}', None]
+    docs = lambda *ts: spark.createDataFrame(list(enumerate(ts)), "doc_id bigint, text string")
+    got = FM.parse(docs("no head", "---\na: 1\n---", None, "", "---\na: x\n---\nb")).orderBy("doc_id").collect()
+    assert [(r["fm"], r["body"], r["has_fm"]) for r in got[:4]] == [({}, "no head", False), ({}, "---\na: 1\n---", False), ({}, None, False), ({}, "", False)]
+    assert got[4]["fm"]["a"]["s"] == "x" and got[4]["body"] == "b" and got[4]["has_fm"]
+    cols = "doc_id bigint, titulo string, n string, ok boolean, area array<string>"
+    values = [("Um: dois", None, True, ["Civil", "Água, Energia"]), ('diz "sim"', " x ", False, []), ("it's \"so\" \\ c", "a # b", None, ['a "b"', "it's #1"]), ("- um", "C:\\d", True, None)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], cols)
+    back = FM.parse(df.select("doc_id", F.concat(FM.written(df, ["titulo", "n", "ok", "area"]), F.lit("x")).alias("text"))).orderBy("doc_id").collect()
+    assert [(r["fm"]["titulo"]["s"], r["fm"]["n"]["s"], r["fm"]["ok"]["b"], r["fm"]["area"]["l"]) for r in back] == values and {r["body"] for r in back} == {"x"}
+    new = lambda t: docs(t).select(FM.updated(F.col("text"), "a", FM.line("a", F.lit('n$1 "q"'), "string")).alias("t")).first()["t"]
+    t = new("---\na: [\n  x\n  ]\nb: 2\n# c\na: 3\n---\nbody")
+    assert t == "---\na: 'n$1 \"q\"'\nb: 2\n# c\na: 3\n---\nbody"
+    assert new("body") == "---\na: 'n$1 \"q\"'\n---\nbody" and new("---\nb: 1\n---\n") == "---\nb: 1\na: 'n$1 \"q\"'\n---\n"
+
+
+def test_front_matter_of_a_long_head(spark):
+    head = "".join(f"k{i % 5000}: v{i}\n" for i in range(20_000)) + "t: >\n" + "  x\n" * 20_000
+    got = FM.parse(spark.createDataFrame([(1, f"---\n{head}---\nb")], "doc_id bigint, text string")).select(F.size("fm"), F.expr("fm['k7'].s"), F.length(F.expr("fm['t'].s"))).first()
+    assert tuple(got) == (5001, "v15007", 39_999)
+
+
+@pytest.mark.parametrize("text, want", [
+    ('said ```json\n{"a": "he said "no" again"}\n```', {"a": 'he said "no" again'}),
+    ('{"a": "line\nbreak\tand tab"}', {"a": "line\nbreak\tand tab"}),
+    ('x {"k": 1} y', {"k": 1}),
+    ('{"a": "o termo "Laffer", cunhado depois", "b": 1}', {"a": 'o termo "Laffer", cunhado depois', "b": 1}),
+    ('{"a": "diz "x": y", "b": ["um "dois", tres", "q"], "c": {"d": "e "f"}"}}', {"a": 'diz "x": y', "b": ['um "dois", tres', "q"], "c": {"d": 'e "f"}'}}),
+    ('[{"a": "b \\"c\\" "d""}, {"a": null}]', [{"a": 'b "c" "d"'}, {"a": None}]),
+    ("nothing", None), ("", None), (None, None), ('"text"', None), ('{"a": ', None),
+])
+def test_json_is_found_and_mended(spark, text, want):
+    import json
+
+    got = spark.createDataFrame([(text,)], "t string").select(jsonfix.recover_json(F.col("t")).alias("j")).first()["j"]
+    assert (got and json.loads(got)) == want
 
 
 def test_names_and_roman(spark):
