@@ -1,11 +1,17 @@
 """Freely typed values mapped to the entry of a reference list they mean, or reported as misses.
 
-Symmetric deletes: every key of the reference list, and every distinct typed
-value, is expanded to the strings left by up to ``k`` deletions; two strings
-within edit distance k share one of them. So the bounded-distance search is an
-equi-join on the deleted form. Candidates are then checked with a weighted
-Damerau-Levenshtein distance and ranked by (distance, frequency in the data,
-order in the list).
+1. Symmetric deletes: every key of the reference list, and every distinct typed
+   value, is expanded to the strings left by up to ``k`` deletions; two strings
+   within edit distance k share one of them. So the bounded-distance search is
+   an equi-join on the deleted form. Candidates are then checked with a weighted
+   Damerau-Levenshtein distance and ranked by (distance, frequency in the data,
+   order in the list).
+2. Other names of an entry (no spelling leads from "laboral" to "Trabalhista")
+   are learned from the data: notes of one work bear the same values, and the
+   codes in their file names say the same again. A value that means nothing by
+   its spelling, and stands again and again where the work names one entry,
+   becomes a key of that entry; what is left is looked up among these keys, in
+   the same way. A list of such names may be given as a table; none is built in.
 
 Typed values are reduced to distinct (field, value) pairs before anything
 costly, so a value that holds a third of all rows is looked up once. The
@@ -15,6 +21,7 @@ has at most ``BROADCAST_ROWS`` deletes; a larger one is shuffle-joined.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -22,54 +29,20 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tabularium.functions.fuzzy import fold
+from tabularium.functions.text import link_stem
 from tabularium.operators.multivalue import split_values
+from tabularium.operators.notes import NAME
 from tabularium.sources.tables import balanced, cut
 
 BROADCAST_ROWS = 500_000
-# Other ways to name an entry of the reference list, folded; forms after "direito", "dir." or "materia" stand without it.
-ALIASES = {
-    "area": {
-        "Tributário": "trib|tributos|fiscal|impostos e taxas|impostos|tributacao",
-        "Civil": "civis|civel|civilista|civil geral|obrigacoes civis",
-        "Penal": "pen|penais|criminal|criminais|crimes",
-        "Trabalhista": "trab|trabalho|laboral|trabalho e emprego|relacoes de trabalho|emprego",
-        "Administrativo": "admin|adm|administracao publica|adm. publica|gestao publica",
-        "Constitucional": "const|constituicao|constitucionais",
-        "Empresarial": "empr|empresas|empresariais|comercial|mercantil|societario",
-        "Consumidor": "cons|consumo|consumerista|relacoes de consumo|defesa do consumidor|consumidores",
-        "Previdenciário": "prev|previdencia|aposentadorias|seguridade social|previdencia social",
-        "Ambiental": "amb|ambiente|meio ambiente|ambientais|ecologico|ecologia",
-        "Família": "fam|familias|familiar|casamento e filiacao",
-        "Processual": "proc|processo|processuais|ritos e recursos",
-        "Econômico": "econ|economia|ordem economica|regulacao economica|economicos",
-        "Financeiro": "fin|financas|financas publicas|orcamento publico|orcamento",
-        "Internacional": "intl|inter|internacionais|gentes|tratados|relacoes exteriores",
-        "Eleitoral": "elei|eleitorais|eleicoes",
-        "Agrário": "agr|agrarios|rural|terra|reforma agraria",
-        "Digital": "dig|digitais|internet e dados|protecao de dados|informatica juridica|informatica",
-        "Licitações e Contratos": "licit|licitacoes|licitacao|licitacao publica|licitacao e contrato|compras publicas|contratacoes publicas",
-        "Água, Energia e Saneamento": "aes|agua|agua,|aguas|energia|energia eletrica|setor de energia|saneamento|saneamento basico|aguas, energia e saneamento",
-    },
-    "status": {
-        "Vigente": "vig|ativa|ativo|valido|valida|em vigor|vale ainda",
-        "A-conferir": "aconf|a-con|a conferir|conferir|por revisar|pendente de conferencia|falta conferir",
-        "Revogado": "rev|revogada|caiu|sem vigencia|derrogado por inteiro",
-        "Alterado": "alt|alterada|emendado|modificado|com alteracoes",
-        "Superado": "sup|superada|overruled|ultrapassado|entendimento antigo",
-        "Modulado": "mod|modulada|efeitos modulados|com modulacao|modulacao de efeitos",
-    },
-    "tipo": {
-        "Doutrina": "dout|manual|obra doutrinaria|livro de doutrina|livro doutrinario",
-        "Legislação": "legis|lei|legislacoes|norma legal|texto de lei|norma",
-        "Jurisprudência": "juris|acordao|julgado|decisao de tribunal|precedente",
-        "Súmula": "sum|enunciado de sumula|verbete sumular|enunciado",
-        "Artigo": "art|paper|texto de periodico|artigo de revista",
-        "Parecer": "par|parecer juridico|consulta respondida|opiniao legal",
-        "Modelo": "mod|modelo de peca|template|minuta",
-    },
-}
+LEAST_WORKS = 3  # works in which a value must stand for an entry before it is taken for another name of it,
+KAPPA = 0.8  # agreement of the works that tell anything, from 0 for what chance gives to 1 for all of them,
+CHANCE = 0.01  # and how likely at most so many would agree if the value stood anywhere
+WEAK = 1.0  # distance beyond which what a value stands beside may overrule its spelling
+CODE_SHARE = 0.9  # share of the plain values under a code in file names that makes the code mean their entry
 _MARKS = re.compile(r"(?:\s*\(\?\)|[\s*.!?]+)$")
 _TAIL_DOT = re.compile(r"\.\s*(?:\*|\(\?\))?\s*$")
 
@@ -127,21 +100,20 @@ def keys_of(value: str, campo: str) -> list[str]:
     return out
 
 
-def reference(vocabulary: DataFrame, aliases: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """(campo, ord, canonico, key, main): the list's entries and their other names, folded.
+_PLAIN = F.pandas_udf(lambda s: s.map(lambda x: re.sub(r"\s+", " ", fold(x)).strip()), StringType())
+
+
+def reference(vocabulary: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """(campo, ord, canonico, key, main): the list's entries and, of synonyms(campo, valor, canonico), their other names, folded.
 
     ``main`` marks an entry's own name, whose beginnings also count as abbreviations.
-    Null and repeated entries of the list are left out.
+    Null and repeated entries of the list are left out, as are names of entries that aren't listed.
     """
-    aliases = ALIASES if aliases is None else aliases
-    names = [(f, c, k) for f, of in aliases.items() for c, ks in of.items() for k in ks.split("|")]
-    spark = vocabulary.sparkSession
     listed = vocabulary.where("campo is not null and trim(canonico) != ''").groupBy("campo", "canonico").agg(F.min("ord").alias("ord"))
-    fold_udf = F.pandas_udf(lambda s: s.map(lambda x: re.sub(r"\s+", " ", fold(x)).strip()), "string")
-    own = listed.select("campo", "ord", "canonico", fold_udf("canonico").alias("key"), F.lit(True).alias("main"))
-    if not names:
+    own = listed.select("campo", "ord", "canonico", _PLAIN("canonico").alias("key"), F.lit(True).alias("main"))
+    if synonyms is None:
         return own
-    other = spark.createDataFrame(names, "campo string, canonico string, key string").join(listed, ["campo", "canonico"])
+    other = synonyms.where("trim(valor) != ''").select("campo", "canonico", _PLAIN("valor").alias("key")).distinct().join(listed, ["campo", "canonico"])
     return own.unionByName(other.select("campo", "ord", "canonico", "key", F.lit(False).alias("main")))
 
 
@@ -188,15 +160,20 @@ def near(keys: DataFrame, ref: DataFrame) -> DataFrame:
     return met.join(ref.select("campo", F.col("key").alias("listed"), "ord", "canonico").distinct(), ["campo", "listed"]).select("campo", "key", "ord", "canonico", "listed")
 
 
-def match(values: DataFrame, vocabulary: DataFrame, aliases: dict[str, dict[str, str]] | None = None) -> DataFrame:
+def match(values: DataFrame, vocabulary: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """values(campo, valor) -> (campo, valor, canonico, distance), one row per distinct pair.
 
     ``canonico`` is '' and ``distance`` null where nothing is near enough (a miss).
     A value that is literally an entry maps to it at distance 0. Null values are
     left out; ties go to the more frequent entry, then to the list's order.
+    synonyms(campo, valor, canonico) are further names of the entries.
     """
+    return lookup(values, reference(vocabulary, synonyms))
+
+
+def lookup(values: DataFrame, ref: DataFrame) -> DataFrame:
+    """``match`` with the keys of ``reference``."""
     typed = cut(values.where("valor is not null and campo is not null").groupBy("campo", "valor").agg(F.count(F.lit(1)).alias("n")))
-    ref = reference(vocabulary, aliases)
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -222,27 +199,103 @@ def match(values: DataFrame, vocabulary: DataFrame, aliases: dict[str, dict[str,
 
 
 def typed_values(notes: DataFrame) -> DataFrame:
-    """(note_id, campo, valor): each value of ``area``, ``status`` and ``tipo``; area may hold several."""
+    """(note_id, campo, valor, pos, n): each value of ``area``, ``status`` and ``tipo``; area may hold several."""
     once = notes.select("note_id", "area", "status", "tipo").where("note_id is not null").distinct()
-    several = split_values(once, ("area",)).select("note_id", "campo", "valor")
+    several = split_values(once, ("area",)).select("note_id", "campo", "valor", "pos", "n")
     single = once.select("note_id", F.explode(F.create_map(F.lit("status"), F.col("status"), F.lit("tipo"), F.col("tipo"))).alias("campo", "v"))
     bare = F.regexp_replace(F.regexp_replace("v", r"^[\s\[\]\"' ]+|[\s\[\]\"' ]+$", ""), r"^-\s+", "")
-    single = single.select("note_id", "campo", bare.alias("valor")).where("valor is not null and valor not in ('', 'null')")
+    one = F.lit(1).cast("bigint")
+    single = single.select("note_id", "campo", bare.alias("valor"), one.alias("pos"), one.alias("n")).where("valor is not null and valor not in ('', 'null')")
     return several.unionByName(single)
 
 
-def found(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def weak(known: DataFrame) -> DataFrame:
+    """What spelling doesn't decide: misses, and matches more than ``WEAK`` away."""
+    return known.where(f"canonico = '' or distance > {WEAK}")
+
+
+def learned(values: DataFrame, known: DataFrame, notes: DataFrame) -> DataFrame:
+    """(campo, valor, canonico, works): other names of entries, learned from where they stand.
+
+    values(note_id, campo, valor, pos, n) and known(campo, valor, canonico, distance),
+    as ``match`` gives it, are all typed values and what their spelling means; a
+    value whose spelling is more than ``WEAK`` away counts as unknown. A work is
+    what a slice links to, or the note itself. In it an unknown value means the
+    one entry that other notes name plainly at its place among as many values;
+    where no note has as many, the one entry that the work names and the value's
+    own note doesn't; where the work names none, what the code in its file name
+    stands for. A value is learned if ``LEAST_WORKS`` works agree, and the
+    works that tell anything agree by ``KAPPA`` beyond the entry's share p of
+    all works, unless so many would by chance (p to that power is over ``CHANCE``). ``valor`` is
+    folded. Every work counts once, however many notes it has.
+    """
+    of = notes.where("note_id is not null").select(
+        "note_id", F.coalesce(link_stem(F.col("obra")), F.col("stem")).alias("work"),
+        F.create_map(F.lit("area"), F.regexp_extract("stem", NAME, 1), F.lit("tipo"), F.regexp_extract("stem", NAME, 2)).alias("codes"),
+    ).dropDuplicates(["note_id", "work"])
+    told = values.join(known, ["campo", "valor"]).join(of, "note_id").withColumn("code", F.nullif(F.try_element_at("codes", F.col("campo")), F.lit("")))
+    told = cut(told.withColumn("known", (F.col("canonico") != "") & (F.col("distance") <= WEAK)).drop("codes"))
+    plain = told.where("distance = 0")
+    # at most as many entries a work as the list has; a place with more than one tells nothing
+    named = cut(plain.groupBy("work", "campo").agg(F.collect_set("canonico").alias("has"), F.collect_set("n").alias("sizes")))
+    placed = plain.groupBy("work", "campo", "n", "pos").agg(F.collect_set("canonico").alias("here"))
+    mine = told.where("known").groupBy("note_id", "campo").agg(F.collect_set("canonico").alias("mine"))
+    coded = plain.where("code is not null and n = 1").groupBy("campo", "code", "canonico").agg(F.countDistinct("work").alias("c"))
+    coded = coded.groupBy("campo", "code").agg(F.max_by("canonico", F.struct("c", "canonico")).alias("means"), F.max("c").alias("top"), F.sum("c").alias("all")).where(F.col("top") >= CODE_SHARE * F.col("all"))
+    last_key = F.pandas_udf(lambda c, v: pd.Series([keys_of(x, f)[-1] for f, x in zip(c, v)]), "string")
+    odd = weak(known).select("campo", "valor", last_key("campo", "valor").alias("key")).where("key != ''")
+    at = told.where("not known").select("note_id", "work", "campo", "valor", "n", "pos", "code").join(odd, ["campo", "valor"])
+    at = at.join(named, ["work", "campo"], "left").join(placed, ["work", "campo", "n", "pos"], "left").join(coded.select("campo", "code", "means"), ["campo", "code"], "left").join(mine, ["note_id", "campo"], "left")
+    could = F.when(F.array_contains("sizes", F.col("n")), F.col("here")).when(F.col("has").isNotNull(), F.col("has")).when(F.col("n") == 1, F.array("means"))
+    could = F.array_except(F.array_compact(could), F.coalesce("mine", F.array().cast("array<string>")))
+    says = at.withColumn("could", could).where("size(could) = 1").select("campo", "key", "work", F.col("could")[0].alias("canonico")).distinct()
+    per = says.groupBy("campo", "key", "canonico").agg(F.count(F.lit(1)).alias("c"))
+    best = per.groupBy("campo", "key").agg(F.max_by("canonico", F.struct("c", "canonico")).alias("canonico"), F.max("c").alias("works"), F.sum("c").alias("n"))
+    works = named.groupBy("campo").agg(F.count(F.lit(1)).alias("all"))
+    share = named.select("campo", F.explode("has").alias("canonico")).groupBy("campo", "canonico").agg(F.count(F.lit(1)).alias("with"))
+    share = share.join(works, "campo").select("campo", "canonico", (F.col("with") / F.col("all")).alias("p"))
+    # entries that no work names plainly (codes may still mean them) count as named by one
+    sure = best.join(share, ["campo", "canonico"], "left").join(works, "campo", "left").withColumn("p", F.coalesce("p", 1 / F.greatest(F.coalesce("all", F.lit(1)), F.lit(2))))
+    sure = sure.where((F.col("works") >= LEAST_WORKS) & (F.col("works") >= (F.col("p") + KAPPA * (1 - F.col("p"))) * F.col("n")) & (-F.col("works") * F.log("p") >= -math.log(CHANCE)))
+    return sure.select("campo", F.col("key").alias("valor"), "canonico", "works")
+
+
+def mapped(notes: DataFrame, vocabulary: DataFrame, synonyms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(values, meanings): all typed values (note_id, campo, valor, pos, n), and (campo, valor, canonico, distance, way) of each distinct one.
+
+    way: 'spelling' for what the list's names (and given synonyms) lead to,
+    'learned' for what the learned names do, 'miss' for the rest.
+    """
+    values = cut(typed_values(notes).distinct())
+    first = cut(match(values, vocabulary, synonyms))
+    names = cut(learned(values, first, notes))
+    lost = values.join(weak(first).select("campo", "valor"), ["campo", "valor"])
+    listed = reference(vocabulary).select("campo", "canonico", "ord").distinct()
+    ref = names.join(listed, ["campo", "canonico"]).select("campo", "ord", "canonico", F.col("valor").alias("key"), F.lit(False).alias("main"))
+    second = lookup(lost, ref).where("canonico != ''").select("campo", "valor", F.col("canonico").alias("other"), F.col("distance").alias("off"))
+    both = first.join(second, ["campo", "valor"], "left")
+    better = F.col("off").isNotNull() & (F.col("distance").isNull() | (F.col("off") < F.col("distance")))
+    way = F.when(better, "learned").when(F.col("canonico") == "", "miss").otherwise("spelling")
+    return values, cut(both.select("campo", "valor", F.when(better, F.col("other")).otherwise(F.col("canonico")).alias("canonico"), F.when(better, F.col("off")).otherwise(F.col("distance")).alias("distance"), way.alias("way")))
+
+
+def found(notes: DataFrame, vocabulary: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """p1_found: (note_id, campo, canonico) of values that aren't literally an entry; '' is a miss."""
-    values = typed_values(notes).distinct()
+    # the whole of the values, literal ones too, gives the frequencies and the names
+    values, meanings = mapped(notes, vocabulary, synonyms)
     entries = vocabulary.select("campo", F.col("canonico").alias("valor")).where("valor is not null").distinct()
-    off = values.join(F.broadcast(entries), ["campo", "valor"], "left_anti")
-    # the whole of the values, literal ones too, gives the frequencies
-    mapped = match(values, vocabulary)
-    return off.join(mapped, ["campo", "valor"]).select("note_id", "campo", "canonico").distinct()
+    off = values.join(entries, ["campo", "valor"], "left_anti")
+    return off.join(meanings, ["campo", "valor"]).select("note_id", "campo", "canonico").distinct()
 
 
-def misses(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def misses(notes: DataFrame, vocabulary: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """(campo, valor, n_notes): values that name no entry, with the notes that bear them."""
-    values = typed_values(notes).distinct()
-    lost = match(values, vocabulary).where("canonico = ''").select("campo", "valor")
+    values, meanings = mapped(notes, vocabulary, synonyms)
+    lost = meanings.where("canonico = ''").select("campo", "valor")
     return values.join(lost, ["campo", "valor"]).groupBy("campo", "valor").agg(F.countDistinct("note_id").alias("n_notes"))
+
+
+def names_learned(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(campo, valor, canonico, works): the other names of entries that the notes teach."""
+    values = cut(typed_values(notes).distinct())
+    return learned(values, cut(match(values, vocabulary)), notes)

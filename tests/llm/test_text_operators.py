@@ -29,7 +29,8 @@ def vocabulary(spark):
     ("status", "VIGENTE", "Vigente"), ("status", "Vignete *", "Vigente"), ("status", "A conferir (?)", "A-conferir"), ("status", "em vigor", "Vigente"), ("status", "12", ""), ("tipo", "artiog", "Artigo"), ("tipo", "paper", "Artigo"), ("tipo", "mapa", ""),
 ])
 def test_typed_values(spark, vocabulary, campo, typed, want):
-    got = canonical.match(spark.createDataFrame([(campo, typed)], "campo string, valor string"), vocabulary).first()
+    other = spark.createDataFrame([("area", "Fiscal", "Tributário"), ("area", "criminal", "Penal"), ("status", "Em vigor", "Vigente"), ("tipo", "paper", "Artigo"), ("tipo", "mapa", "Atlas"), ("tipo", None, "Artigo")], "campo string, valor string, canonico string")
+    got = canonical.match(spark.createDataFrame([(campo, typed)], "campo string, valor string"), vocabulary, other).first()
     assert got["canonico"] == want and (got["distance"] is None) == (want == "")
 
 
@@ -44,8 +45,8 @@ def test_lookup_equals_brute_force(spark, vocabulary):
             i = rnd.randrange(len(k))
             k[i : i + 1] = rnd.choice([[], [k[i], k[i]], [rnd.choice("abcxz")], [k[i], rnd.choice("abc")]])
         typed.add((campo, "".join(k)))
-    ref = canonical.reference(vocabulary, {}).collect()
-    got = {(r["campo"], r["valor"]): r["canonico"] for r in canonical.match(spark.createDataFrame(sorted(typed), "campo string, valor string"), vocabulary, {}).collect()}
+    ref = canonical.reference(vocabulary).collect()
+    got = {(r["campo"], r["valor"]): r["canonico"] for r in canonical.match(spark.createDataFrame(sorted(typed), "campo string, valor string"), vocabulary).collect()}
     limit = lambda k: 0 if len(k) <= 4 else 1.25 if len(k) <= 6 else 2.25 if len(k) <= 17 else 3.3
     for campo, valor in typed:
         key = canonical.keys_of(valor, campo)[0]
@@ -55,7 +56,7 @@ def test_lookup_equals_brute_force(spark, vocabulary):
 
 
 def test_canonical_nulls_empty_and_repeats(note_rows, spark, vocabulary):
-    rows = [{"note_id": 1, "area": "Civil; criminal; Xadrez", "status": None, "tipo": " [Doutrina] "}, {"note_id": 2, "area": None, "status": "Vigente", "tipo": "null"}, {"note_id": None, "area": "Xadrez"}]
+    rows = [{"note_id": 1, "area": "Civil; penla; Xadrez", "status": None, "tipo": " [Doutrina] "}, {"note_id": 2, "area": None, "status": "Vigente", "tipo": "null"}, {"note_id": None, "area": "Xadrez"}]
     n = note_rows(*rows, *rows).withColumn("valor", F.lit("x")).withColumn("campo", F.lit("y"))
     assert sorted(tuple(r) for r in canonical.found(n, vocabulary).collect()) == [(1, "area", ""), (1, "area", "Penal")]
     assert [tuple(r) for r in canonical.misses(n, vocabulary).collect()] == [("area", "Xadrez", 1)]
@@ -63,6 +64,28 @@ def test_canonical_nulls_empty_and_repeats(note_rows, spark, vocabulary):
     assert {r["canonico"] for r in canonical.found(n, vocabulary.limit(0)).collect()} == {""}
 
 
+def test_names_are_learned_from_works_and_codes(note_rows, vocabulary):
+    """Names no list holds: learned where works agree, not where a value stands beside anything."""
+    rows, i = [], 0
+    entries = ["Tributário", "Civil", "Penal"]
+    other = {"Tributário": "fiscal", "Civil": "obrigações civis", "Penal": "crimes"}
+    for w in range(30):
+        e, index = entries[w % 3], f"TRIB_DOUT_2000_T{w}_A_INDICE"
+        for k, area in enumerate((e, other[e], "Xadrez" if w % 2 else other[e].upper(), f"{e}; Ganso", None), 1):
+            i += 1
+            rows.append({"note_id": i, "stem": f"TRIB_DOUT_2000_T{w}_A_p{k:02d}", "parte": str(k), "obra": f"[[{index}]]", "area": area, "tipo": "Doutrina" if w < 25 else "manual", "status": "Vigente"})
+    # whole notes: the code in the name is all there is
+    rows += [{"note_id": 1000 + k, "stem": f"CIVIL_ART_2001_X{k}_B", "tipo": "Artigo" if k < 8 else "estudo"} for k in range(14)]
+    rows.append({"note_id": 2000, "stem": "x", "area": "Ficsal", "tipo": "mapa"})
+    n = note_rows(*rows)
+    got = {(r["campo"], r["valor"]): r["canonico"] for r in canonical.names_learned(n, vocabulary).collect()}
+    # "manual" stands beside an entry that nearly all works name: that tells nothing
+    assert got == {("area", "fiscal"): "Tributário", ("area", "obrigacoes civis"): "Civil", ("area", "crimes"): "Penal", ("tipo", "estudo"): "Artigo"}
+    found = {tuple(r) for r in canonical.found(n, vocabulary).collect()}
+    assert (2000, "area", "Tributário") in found and (2000, "tipo", "") in found and (8, "area", "") in found
+    assert {x[2] for x in found if x[0] == 3} == {"Tributário"}
+
+
 # ------------------------------------------------------------------ 3 names
 
 
