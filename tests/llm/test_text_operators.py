@@ -1,4 +1,7 @@
+import json
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +92,11 @@ def test_names_are_learned_from_works_and_codes(note_rows, vocabulary):
 # ------------------------------------------------------------------ 3 names
 
 
+def short_names(spark):
+    """Two nicknames that so few names can't teach."""
+    return spark.createDataFrame([("mari", "mariana"), ("quim", "joaquim"), (None, "x")], "nick string, full string")
+
+
 def test_variants_are_one_group_and_relatives_are_not(spark):
     one = ["BARPANGA, Joaquim Luís Zampessa da", "Joaquim Luís Zampessa da Barpanga", "J. L. Zampessa da Barpanga", "barpanga, joaquim zampessa", "BARPANGA JOAQUIM ZAMPESSA", 'BARPANGA, Joaquim "Quim" Zampessa', "Prof. Joaquim Zampesa da Barpanga", "Quim Zampessa", "ZAMPESSA BARPANGA, JOAQUIM"]
     two = ["BARPANGA FILHO, Joaquim Luís Zampessa da", "Joaquim Zampessa da Barpanga F.º"]
@@ -100,18 +108,46 @@ def test_variants_are_one_group_and_relatives_are_not(spark):
     rows = [(k * 100 + i, n) for k, g in enumerate(groups) for i, n in enumerate(g)]
     df = spark.createDataFrame([*rows, (9001, None), (9002, "  "), (None, "x"), rows[0]], "name_id bigint, nome string").withColumn("gram", F.lit("x"))
     want = {(k * 100 + i, k * 100 + j) for k, g in enumerate(groups) for i in range(len(g)) for j in range(i + 1, len(g))}
-    got = {tuple(r) for r in names.found(df).collect()}
+    got = {tuple(r) for r in names.found(df, nicks=short_names(spark)).collect()}
     assert got == want, (sorted(got - want), sorted(want - got))
     assert names.found(df.limit(0)).collect() == []
 
 
 def test_join_finds_what_comparing_all_pairs_finds(spark, data):
+    """Brute force: the cosine of n-gram counts and weights taken by the definition, for all pairs of forms."""
     df = table(spark, data.replace("0.001", "0.01"), "author_names")
-    rows = [(r["name_id"], r["nome"]) for r in df.collect()]
-    parsed = {i: names.parse(n) for i, n in rows}
-    all_pairs = {(a, b) for a in parsed for b in parsed if a < b and names.similarity(parsed[a], parsed[b]) > 0}
-    got = {(r["a"], r["b"]) for r in names.links(df).collect()}
-    assert len(got & all_pairs) >= 0.97 * len(all_pairs) and got <= all_pairs
+    alike = names.forms(df)
+    heads = {r["form"]: (r["nome"], json.loads(r["said"]), r["weight"]) for r in alike.where("name_id = form").collect()}
+    tf = {i: Counter(names.trigrams(n, p)) for i, (n, p, _) in heads.items()}
+    df_of, total = Counter(), sum(w for _, _, w in heads.values())
+    for i, c in tf.items():
+        for g in c:
+            df_of[g] += heads[i][2]
+    vec = {i: {g: (1 + math.log(k)) * (1 + math.log((total + 1) / df_of[g])) for g, k in c.items()} for i, c in tf.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
+    want = {}
+    for a in heads:
+        for b in heads:
+            if a < b and names.agree(heads[a][1], heads[b][1]):
+                c = sum(x * vec[b].get(g, 0) for g, x in vec[a].items()) / (norm[a] * norm[b])
+                if c >= names.MIN_COSINE:
+                    want[a, b] = c
+    got = {(r["a"], r["b"]): r["sim"] for r in names.completed(*names.similar(alike)).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) > 20 and all(abs(got[k] - want[k]) < 1e-5 for k in got)
+    # the nearest only, and what that leaves out over common partners
+    few = {(r["a"], r["b"]) for r in names.completed(*names.similar(alike, top=1)).collect()}
+    assert len(few) >= 0.95 * len(got) and few <= set(got)
+
+
+def test_nicknames_are_learned(spark):
+    fams = [f"{a}{b}" for a in ("barp", "zomv", "telg", "murd") for b in ("anga", "ondo", "uste", "irve")]
+    said = [(f, m) for f in fams for m in fams if f != m]
+    rows = [f"Joaquim {m} {f}" for f, m in said[:60]] + [f"Quim {m} {f}" for f, m in said[:8]]  # stands for it in 8 families
+    rows += [f"Otávio {m} {f}" for f, m in said[30:34]] + [f"Otávio {m} {f}" for f, m in said[60:120]]  # a brother in four, another name
+    rows += ['BARPANGA, Isabel "Bel" Murdirve', 'ZOMVANGA, Isabel "Bel" Murdirve', 'ZOMVANGA, Ana "Bel" Telgondo']
+    f = names.facts(spark.createDataFrame(list(enumerate(rows)), "name_id bigint, nome string"))
+    assert sorted(tuple(r) for r in names.nicknames(f).collect()) == [("bel", "isabel"), ("quim", "joaquim")]
+    assert names.nicknames(f.limit(0)).collect() == []
 
 
 def test_average_linkage_by_hand():
@@ -129,7 +165,7 @@ def test_a_large_component_keeps_its_weak_links(spark):
     spellings = [(k, n) for k, g in enumerate((ONE_PERSON, ANOTHER)) for n in g]
     rows = [(1 + i * len(spellings) + j, n) for i in range(310) for j, (_, n) in enumerate(spellings)]
     person = dict((n, k) for k, n in spellings)
-    got = names.groups(spark.createDataFrame(rows, "name_id bigint, nome string")).collect()
+    got = names.groups(spark.createDataFrame(rows, "name_id bigint, nome string"), nicks=short_names(spark)).collect()
     assert {(r["group_id"], person[r["nome"]]) for r in got} == {(1, 0), (1 + len(ONE_PERSON), 1)} and len(got) == len(rows)
 
 
@@ -160,7 +196,7 @@ def test_copies_of_a_name_are_compared_once(spark):
     rows = [(i, ("BARPANGA, Joaquim Zampessa", "Joaquim Zampessa Barpanga", "Joaquim Zampesa Barpanga")[i % 3]) for i in range(300)]
     rows += [(1000 + i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 4}, Otávio") for i in range(600)]
     alike = names.forms(spark.createDataFrame(rows, "name_id bigint, nome string"))
-    assert [(r["a"], r["b"], r["weight_a"] + r["weight_b"]) for r in names.similar(alike).where("b < 1000").collect()] == [(0, 2, 300)]
+    assert [(r["a"], r["b"], r["weight_a"] + r["weight_b"]) for r in names.similar(alike)[0].where("b < 1000").collect()] == [(0, 2, 300)]
 
 
 # ------------------------------------------------------------------ 4 pieces
