@@ -9,8 +9,8 @@ QUERIES = {
     "p2_found": lambda spark, d: references.found(table(spark, d, "notes"), table(spark, d, "removals")),
     "p2_report": lambda spark, d: references.summary(references.found(table(spark, d, "notes"), table(spark, d, "removals"))),
     "p2_gaps": lambda spark, d: references.gaps(table(spark, d, "notes"), table(spark, d, "removals")),
-    "p7_found": lambda spark, d: multivalue.found(table(spark, d, "notes")),
-    "p7_values": lambda spark, d: multivalue.split_values(table(spark, d, "notes").select("note_id", "area", "autoria").distinct(), ("area", "autoria")),
+    "p7_found": lambda spark, d: multivalue.found(table(spark, d, "notes"), table(spark, d, "vocabulary")),
+    "p7_values": lambda spark, d: multivalue.split_values(table(spark, d, "notes").select("note_id", "area", "autoria").distinct(), ("area", "autoria"), vocabulary=table(spark, d, "vocabulary")),
 }
 
 SQL = {
