@@ -198,10 +198,10 @@ def lookup(values: DataFrame, ref: DataFrame) -> DataFrame:
     return typed.select("campo", "valor").join(best, ["campo", "valor"], "left").select("campo", "valor", F.coalesce("b.canonico", F.lit("")).alias("canonico"), F.col("b.distance").alias("distance"))
 
 
-def typed_values(notes: DataFrame) -> DataFrame:
+def typed_values(notes: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(note_id, campo, valor, pos, n): each value of ``area``, ``status`` and ``tipo``; area may hold several."""
     once = notes.select("note_id", "area", "status", "tipo").where("note_id is not null").distinct()
-    several = split_values(once, ("area",)).select("note_id", "campo", "valor", "pos", "n")
+    several = split_values(once, ("area",), vocabulary=vocabulary).select("note_id", "campo", "valor", "pos", "n")
     single = once.select("note_id", F.explode(F.create_map(F.lit("status"), F.col("status"), F.lit("tipo"), F.col("tipo"))).alias("campo", "v"))
     bare = F.regexp_replace(F.regexp_replace("v", r"^[\s\[\]\"' ]+|[\s\[\]\"' ]+$", ""), r"^-\s+", "")
     one = F.lit(1).cast("bigint")
@@ -266,7 +266,7 @@ def mapped(notes: DataFrame, vocabulary: DataFrame, synonyms: DataFrame | None =
     way: 'spelling' for what the list's names (and given synonyms) lead to,
     'learned' for what the learned names do, 'miss' for the rest.
     """
-    values = cut(typed_values(notes).distinct())
+    values = cut(typed_values(notes, vocabulary).distinct())
     first = cut(match(values, vocabulary, synonyms))
     names = cut(learned(values, first, notes))
     lost = values.join(weak(first).select("campo", "valor"), ["campo", "valor"])
@@ -297,5 +297,5 @@ def misses(notes: DataFrame, vocabulary: DataFrame, synonyms: DataFrame | None =
 
 def names_learned(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(campo, valor, canonico, works): the other names of entries that the notes teach."""
-    values = cut(typed_values(notes).distinct())
+    values = cut(typed_values(notes, vocabulary).distinct())
     return learned(values, cut(match(values, vocabulary)), notes)
