@@ -3,18 +3,21 @@
 Two documents are neighbours if they share phrases that tell subjects apart. The
 graph is kept in its factored form, documents - phrases (hashed word pairs of a
 sentence), and is never multiplied out into pairs of documents. An edge counts
-only if its phrase is *verified*: among the sentences whose subject is known it
-keeps to one subject. Each round
+only if its phrase is *verified*: among the documents whose subject is known
+where it stands it keeps to one subject. Each round
 
 1. takes the subject known for each sentence (at first: all labels of its
-   document) and counts it per phrase,
+   document) and counts documents per phrase and subject,
 2. keeps the phrases that keep to one subject,
 3. gives each sentence the subject most of its verified phrases point to.
 
-Hand labels are clamped: a labelled document keeps its labels whatever its
-neighbours say, unless its own text speaks of other subjects only (then the
-label isn't trusted). Several subjects per document are kept; one that holds a
-single sentence beside a larger one is a passing mention.
+Rounds end when hardly any verified phrase changes. Hand labels are clamped in
+every round: a sentence of a labelled document counts for what its phrases say
+only if that is among the document's labels, else for the labels. In the result
+a labelled document keeps its labels whatever its neighbours say, unless its
+own text speaks of other subjects only (then the label isn't trusted). Several
+subjects per document are kept; one that holds a single sentence beside a
+larger one is a passing mention.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 
 from tabularium.sources.tables import balanced, cut
 
-ROUNDS = 3
+ROUNDS = 8  # at most; they end
+CHANGE = 0.02  # when so small a share of the verified phrases is new or gone
 FIRST_PURITY, FIRST_SUPPORT = 0.6, 2  # with labels of whole documents; purity is c / (n + 1)
-PURITY, SUPPORT = 0.7, 4  # with subjects of sentences
+PURITY, SUPPORT = 0.7, 4  # with subjects of sentences; support counts documents
 LEAST_SHARE = 0.25  # of the sentences of the largest subject, for a further one
 LEAST_SENTENCES = 2
 BROADCAST_PHRASES = 400_000  # verified phrases up to which they are broadcast (some 20 MB); beyond, a shuffle join
@@ -34,24 +38,34 @@ _BREAK = r"(?<=[.!?;:])\s+|[\r\n]+"
 
 
 def sentences(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, sent, grams): the hashed word pairs of each sentence of two words or more.
+    """(doc_id, sents): of each document its sentences of two words or more, as (sent, grams) with their hashed word pairs.
 
-    Null, empty and blank texts give no row.
+    Null, empty and blank texts give no row; texts of one doc_id give a row each.
     """
     rows = balanced(documents.select("doc_id", F.lower(F.translate(F.col(text).cast("string"), "​﻿­", "")).alias("t")).where("doc_id is not null and t is not null"))
-    rows = rows.select("doc_id", F.posexplode(F.split("t", _BREAK)).alias("sent", "s"))
-    rows = rows.select("doc_id", "sent", F.regexp_extract_all("s", F.lit(r"\p{L}+"), F.lit(0)).alias("w")).where("size(w) > 1")
-    grams = F.array_distinct(F.expr("transform(sequence(1, size(w) - 1), i -> hash(w[i - 1], w[i]))"))
-    return rows.select("doc_id", F.col("sent").cast("int").alias("sent"), grams.alias("grams"))
+    words = F.transform(F.split("t", _BREAK), lambda x, i: F.struct(i.alias("sent"), F.regexp_extract_all(x, F.lit(r"\p{L}+"), F.lit(0)).alias("w")))
+    rows = rows.select("doc_id", F.filter(words, lambda x: F.size(x["w"]) > 1).alias("x")).where("size(x) > 0")
+    return rows.select("doc_id", F.expr("transform(x, s -> struct(s.sent as sent, array_distinct(transform(sequence(1, size(s.w) - 1), i -> xxhash64(s.w[i - 1], s.w[i]))) as grams))").alias("sents"))
 
 
-def verified(rows: DataFrame, known: list[str], support: int, purity: float, weight: str) -> DataFrame:
-    """rows(gram, <weight>) with an array of subject numbers -> (gram, subject) of the phrases that keep to one.
+def evidence(rows: DataFrame, own: str) -> DataFrame:
+    """(doc_id, gram, subject): what each phrase of each document counts for, once a subject; -1 where nothing is known of it.
+
+    ``own`` gives an array of subjects for a sentence ``s``, empty if none is known.
+    """
+    told = rows.select("doc_id", F.expr(f"transform(sents, s -> struct(s.grams as grams, {own} as own))").alias("x"))
+    told = told.select("doc_id", "x", F.expr("array_distinct(flatten(transform(x, s -> flatten(transform(s.own, o -> transform(s.grams, g -> struct(g as gram, o as subject)))))))").alias("k"))
+    rest = F.expr("transform(array_except(flatten(transform(filter(x, s -> size(s.own) = 0), s -> s.grams)), transform(k, e -> e.gram)), g -> struct(g as gram, -1 as subject))")
+    return told.select("doc_id", F.explode(F.concat("k", rest)).alias("e")).select("doc_id", "e.gram", "e.subject")
+
+
+def verified(rows: DataFrame, known: list[str], support: int, purity: float) -> DataFrame:
+    """rows(gram, subject), one a document -> (gram, subject) of the phrases that keep to one subject.
 
     One pass: a sum per listed subject beside the number of rows, so that a
     phrase on a third of all rows is added up before it is shuffled.
     """
-    sums = [F.sum(F.array_contains(weight, i).cast("int")).alias(f"c{i}") for i in range(len(known))]
+    sums = [F.count_if(F.col("subject") == i).alias(f"c{i}") for i in range(len(known))]
     per = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *sums)
     best = F.greatest(*[F.struct(F.col(f"c{i}").alias("c"), F.lit(i).alias("i")) for i in range(len(known))]) if len(known) > 1 else F.struct(F.col("c0").alias("c"), F.lit(0).alias("i"))
     per = per.select("gram", "n", best.alias("b")).where(f"n >= {support} and b.c >= {support} and b.c / (n + 1) >= {purity}")
@@ -61,7 +75,8 @@ def verified(rows: DataFrame, known: list[str], support: int, purity: float, wei
 def assign(units: DataFrame, phrases: DataFrame) -> DataFrame:
     """(doc_id, sent, subject): the subject most verified phrases of a sentence point to; none on a tie."""
     small = phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
-    hits = units.select("doc_id", "sent", F.explode("grams").alias("gram")).join(F.broadcast(phrases) if small else phrases, "gram")
+    rows = units.select("doc_id", F.explode("sents").alias("s")).select("doc_id", "s.sent", F.explode("s.grams").alias("gram"))
+    hits = rows.join(F.broadcast(phrases) if small else phrases, "gram")
     votes = hits.groupBy("doc_id", "sent", "subject").agg(F.count(F.lit(1)).alias("v"))
     two = votes.groupBy("doc_id", "sent").agg(F.max(F.struct("v", "subject")).alias("b"), F.sort_array(F.collect_list("v"), asc=False).alias("vs"))
     return two.where("size(vs) = 1 or vs[0] > vs[1]").select("doc_id", "sent", F.col("b.subject").alias("subject"))
@@ -83,18 +98,21 @@ def spread(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds:
     seeds = cut(seeds.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("own")))
     units = cut(sentences(documents))
     # first round: what a labelled document says belongs to each of its labels
-    rows = units.join(seeds, "doc_id").select("doc_id", "own", F.explode("grams").alias("gram")).distinct()
-    phrases = cut(verified(rows, known, FIRST_SUPPORT, FIRST_PURITY, "own"))
+    phrases = cut(verified(evidence(units.join(seeds, "doc_id"), "own"), known, FIRST_SUPPORT, FIRST_PURITY))
     told = cut(assign(units, phrases))
     for _ in range(rounds):
-        # a labelled document without any evidence lends its labels to all its sentences
-        silent = seeds.join(told.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.col("own").alias("lent"))
         spoken = told.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("sent", "subject"))).alias("says"))
-        use = units.join(spoken, "doc_id", "left").join(silent, "doc_id", "left").where("says is not null or lent is not null")
-        mine = F.coalesce(F.col("lent"), F.array(F.coalesce(F.try_element_at("says", F.col("sent")), F.lit(-1))))
-        rows = use.select(mine.alias("own"), F.explode("grams").alias("gram"))
-        phrases = cut(verified(rows, known, SUPPORT, PURITY, "own"))
-        told = cut(assign(units, phrases))
+        use = units.join(spoken, "doc_id", "left").join(seeds, "doc_id", "left").where("says is not null or own is not null")
+        # clamp: a labelled document's sentence counts for what it says if that is among its labels, else for these
+        said = "try_element_at(says, s.sent)"
+        mine = f"case when own is null then array_compact(array({said})) when array_contains(own, {said}) then array({said}) else own end"
+        now = cut(verified(evidence(use, mine), known, SUPPORT, PURITY))
+        told = cut(assign(units, now))
+        size = now.count()
+        same = now.join(phrases, ["gram", "subject"], "left_semi").count()
+        was, phrases = phrases.count(), now
+        if size + was - 2 * same <= CHANGE * size:
+            break
     count = told.groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("sentences"))
     # clamp: labels hold where the text speaks of them, or of nothing
     any_of = count.groupBy("doc_id").agg(F.collect_set("subject").alias("has"))
