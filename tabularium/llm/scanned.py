@@ -284,13 +284,17 @@ def corrections(words: DataFrame, ratio: float = RATIO, rate: float = RATE) -> D
 
     All words of the corpus take part on both sides. The best variant is the one
     with the fewest confusions, then the most frequent, then the first. Two
-    confusions in a word are looked for only where one explains nothing.
+    confusions in a word are looked for only where one explains nothing. Words
+    too frequent to be misread are left out before hashes are shifted.
     """
     h = F.pandas_udf(lambda s: s.map(word_hash).astype("int64"), "long")
     check = F.pandas_udf(lambda a, b: pd.Series([reads_as(x, y) for x, y in zip(a, b)]), "boolean")
     hw = cut(balanced(words.where("word is not null and n > 0")).withColumn("h", h("word")).withColumn("odd", F.col("word").rlike(ODD)))
     good = hw.where("not odd and length(word) >= 2").select(F.col("word").alias("meant"), F.col("n").alias("m"), "h")
     steps = differences()
+    # no word is misread so often that even the most frequent one couldn't be what stood there: such words aren't laid out
+    most = good.agg(F.max("m")).first()[0] or 0
+    bound = min(most / ratio, 1 + rate * most + 3 * (rate * most) ** 0.5)
 
     def look(rare: DataFrame, k: int) -> DataFrame:
         shifts = [d for d, x in steps.items() if x == k]
@@ -299,7 +303,7 @@ def corrections(words: DataFrame, ratio: float = RATIO, rate: float = RATE) -> D
         sure = met.select("word", "n", "meant", "m").distinct().where(check("word", "meant"))
         return sure.groupBy("word").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant")).withColumn("steps", F.lit(k))
 
-    rare = hw.where("length(word) >= 3 or odd")
+    rare = hw.where(f"odd or (length(word) >= 3 and n <= {bound!r})")
     first = cut(look(rare, 1))
     second = look(rare.join(first.select("word"), "word", "left_anti").where("odd or length(word) >= 5"), 2)
     return first.unionByName(second)
