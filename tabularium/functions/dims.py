@@ -36,6 +36,7 @@ KINDS_BY_SOURCE = (
 ANCHORED = ("livro", "livro_ebook_leitor", "livro_ebook_online", "capitulo_livro", "artigo_periodico", "trabalho_academico", "evento")
 STATUS = ("Vigente", "A-conferir", "Revogado", "Alterado", "Superado", "Modulado")
 STATUS_OK, STATUS_PENDING, STATUS_OLD = "Vigente", ("A-conferir",), ("Revogado", "Superado", "Alterado", "Modulado")
+TRUST = ("Oficial", "Doutrinária", "Interna", "A-conferir", "Conferida")
 KIND_GROUPS = (("doutrina", ("Doutrina", "Artigo")), ("jurisprudencia", ("Jurisprudência", "Súmula")), ("legislacao", ("Legislação", "Parecer")))
 # identifiers cited in texts; each pattern has one group, its digits are the identifier
 IDENTIFIERS = (

@@ -52,6 +52,12 @@ def integrity(texts: DataFrame, a: DataFrame, key: str = "master_id") -> DataFra
     return j.withColumn("verdict", F.when((F.col("n_anchors") == 0) | (F.col("n_double") > 0) | (F.col("n_disorder") > 0), "fail").when(F.col("n_missing") > 0, "warn").otherwise("ok"))
 
 
+def fenced(texts: DataFrame, key: str = "master_id", text: str = "corpo") -> DataFrame:
+    """(key, fenced): does a code fence open before an anchor, with no other backtick between? Null texts give no row."""
+    once = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(key).agg(F.max(text).alias("t"))
+    return once.select(key, F.col("t").rlike(r"```[^`]*\{\{p\.").alias("fenced"))
+
+
 def difference(before: DataFrame, after: DataFrame, key: str = "master_id") -> DataFrame:
     """(key, label, change, times): anchors lost or invented between two versions, as multisets."""
     b = before.groupBy(key, "label").agg(F.count(F.lit(1)).alias("b"))

@@ -16,7 +16,8 @@ def blocks(texts: DataFrame, key: str = "master_id", text: str = "corpo") -> Dat
     """(key, block, kind, level, words, first_line): paragraphs, titles and anchors, none of which may be cut.
 
     A title (one to four #) or a lone anchor is a block; other lines run on to
-    the next blank line. Numbers count from 1.
+    the next blank line. One blank line behind lines with a quote (``>``) among
+    them doesn't end their block. Numbers count from 1.
     """
     ls = lines(texts, key, text)
     title = F.col("line").rlike(r"^#{1,4}\s+\S")
@@ -24,7 +25,13 @@ def blocks(texts: DataFrame, key: str = "master_id", text: str = "corpo") -> Dat
     blank = F.trim("line") == ""
     ls = ls.withColumn("kind", F.when(title, "title").when(anchor, "anchor").when(blank, "blank").otherwise("text"))
     w = Window.partitionBy(key).orderBy("line_no")
-    opens = (F.col("kind").isin("title", "anchor")) | ((F.col("kind") == "text") & (F.coalesce(F.lag("kind").over(w), F.lit("blank")) != "text"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    quote = (F.col("kind") == "text") & F.trim("line").startswith(">")
+    last = lambda cond: F.coalesce(F.max(F.when(cond, F.col("line_no"))).over(so_far), F.lit(0))
+    ls = ls.withColumn("quoted", last(quote) > last(F.col("kind") != "text"))
+    goes_on = (F.lag("kind").over(w) == "blank") & (F.lag("kind", 2).over(w) == "text") & F.lag("quoted", 2).over(w)
+    begins = (F.coalesce(F.lag("kind").over(w), F.lit("blank")) != "text") & ~F.coalesce(goes_on, F.lit(False))
+    opens = (F.col("kind").isin("title", "anchor")) | ((F.col("kind") == "text") & begins)
     ls = ls.withColumn("open", F.when(opens, 1).otherwise(0)).where("kind != 'blank'").withColumn("block", F.sum("open").over(w))
     words = F.size(F.filter(F.split(F.col("line"), r"\s+"), lambda x: x != ""))
     level = F.when(F.col("kind") == "title", F.length(F.regexp_extract("line", "^(#+)", 1)))
@@ -55,6 +62,12 @@ def slices(texts: DataFrame, target: int = 1200, key: str = "master_id", text: s
     return j.groupBy(key, "parte").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n_blocks"), F.min("first_line").alias("first_line"))
 
 
+def delivered(texts: DataFrame, target: int = 1200, least: int = 4000, key: str = "master_id", text: str = "corpo") -> DataFrame:
+    """(key, words, n_slices, whole): works under ``least`` words, or of fewer than two slices, are delivered whole."""
+    s = slices(texts, target, key, text).groupBy(key).agg(F.sum("words").cast("long").alias("words"), F.count(F.lit(1)).alias("n_slices"))
+    return s.withColumn("whole", (F.col("words") < least) | (F.col("n_slices") < 2))
+
+
 def navigation(notes: DataFrame) -> DataFrame:
     """(note_id, work, parte, previous, following): neighbours of each slice in its work."""
     from tabularium.functions.text import is_blank, link_stem, squeeze

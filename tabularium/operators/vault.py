@@ -15,15 +15,19 @@ from tabularium.sources.tables import cut
 def findings(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(note_id, severity, code): what is wrong in the graph of notes, one row a note and fault.
 
-    Errors: metadata absent, slice without link, orphan, slice count, kind or
-    status outside the list, no area, pair of kind and source. Warnings: count
-    that is no number, name off the grammar, broken link.
+    Errors: metadata absent, name borne by several notes, slice without link,
+    orphan, slice count, kind or status outside the list, no area, pair of kind
+    and source. Warnings: count that is no number, trust outside the list, name
+    off the grammar, unknown code of area or kind in it (slices aren't judged),
+    broken link.
     """
-    fields = ("has_fm", "stem", "tipo", "tipo_fonte", "status", "area", "parte", "obra", "partes")
+    fields = ("has_fm", "stem", "tipo", "tipo_fonte", "status", "area", "parte", "obra", "partes", "confiabilidade")
     n = cut(N.once(notes, *fields))  # one pass over the notes; all checks but that of links read this
     listed = lambda field: F.broadcast(vocabulary.where(F.col("campo") == field).select(F.col("canonico").alias(field), F.lit(True).alias(f"{field}_ok")).distinct())
     pair = F.broadcast(dims.kinds_by_source(notes.sparkSession).withColumn("pair_ok", F.lit(True)))
     j = n.join(listed("tipo"), "tipo", "left").join(listed("status"), "status", "left").join(pair, ["tipo_fonte", "tipo"], "left")
+    area, code = F.regexp_extract("stem", N.NAME, 1), F.regexp_extract("stem", N.NAME, 2)
+    judged = F.col("stem").rlike(N.NAME) & ~F.col("stem").rlike("(?i)_p[0-9]+$")
     part, b = ~is_blank(F.col("parte")), lambda c: is_blank(F.col(c))
     row = lambda severity, code, cond: F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
     faults = F.array(
@@ -34,11 +38,15 @@ def findings(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
         row("error", "no_area", ~part & b("area")),
         row("error", "pair", ~b("tipo") & ~b("tipo_fonte") & F.col("pair_ok").isNull()),
         row("warning", "count_not_a_number", ~b("partes") & ~squeeze(F.col("partes")).rlike("^[0-9]{1,9}$")),
+        row("warning", "trust", ~b("confiabilidade") & ~F.col("confiabilidade").isin(*dims.TRUST)),
+        row("warning", "area_code", judged & ~area.isin(*[c for _, c in dims.AREA_CODES])),
+        row("warning", "kind_code", judged & ~code.isin(*[c for _, c in dims.KINDS])),
         row("warning", "name", ~F.col("stem").rlike(N.NAME) & ~F.col("stem").rlike("(?i)_p[0-9]+$")),
     )
     alone = j.select("note_id", F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("f")).select("note_id", "f.severity", "f.code")
     tag = lambda df, severity, code: df.select("note_id", F.lit(severity).alias("severity"), F.lit(code).alias("code")).distinct()
-    return alone.unionByName(tag(N.orphans(n), "error", "orphan")).unionByName(tag(N.slice_counts(n), "error", "slice_count")).unionByName(tag(N.broken_links(notes), "warning", "broken_link"))
+    several = n.where("stem is not null").groupBy("stem").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("stem")
+    return alone.unionByName(tag(n.join(several, "stem"), "error", "duplicate_name")).unionByName(tag(N.orphans(n), "error", "orphan")).unionByName(tag(N.slice_counts(n), "error", "slice_count")).unionByName(tag(N.broken_links(notes), "warning", "broken_link"))
 
 
 def families(found: DataFrame, top: int = 6) -> DataFrame:
@@ -83,10 +91,18 @@ def basic(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def text_layer(pages: DataFrame, key: str = "master_id", least: int = 200) -> DataFrame:
-    """(key, n_pages, n_empty, searchable): pages with fewer than ``least`` other characters than white space count as empty."""
+def text_layer(pages: DataFrame, key: str = "master_id", images: DataFrame | None = None, least: int = 10, full: int = 300) -> DataFrame:
+    """(key, n_pages, n_empty, searchable): pages with fewer than ``least`` other characters than white space count as empty.
+
+    So do those with fewer than ``full`` that are in images(key, page), the pages with a big image.
+    """
     size = F.length(F.regexp_replace("text", r"\s", ""))
-    g = pages.groupBy(key).agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(size < least).alias("n_empty"))
+    if images is None:
+        pages = pages.withColumn("big", F.lit(False))
+    else:
+        pages = pages.join(images.select(key, "page", F.lit(True).alias("big")).distinct(), [key, "page"], "left")
+    empty = (size < least) | (F.coalesce("big", F.lit(False)) & (size < full))
+    g = pages.groupBy(key).agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(empty).alias("n_empty"))
     return g.withColumn("searchable", F.col("n_empty") < 1)
 
 
@@ -164,3 +180,16 @@ def first_of_each(sources: DataFrame) -> DataFrame:
     s = sources.withColumn("path", F.regexp_replace(F.trim("path"), "(?<=.)/+$", "")).where("path is not null and path != ''")
     w = Window.partitionBy("path").orderBy("ord")
     return s.withColumn("r", F.row_number().over(w)).where("r = 1").select("ord", "path", F.coalesce("kind", F.when(F.lower("path").endswith(".pdf"), "file").otherwise("folder")).alias("kind"))
+
+
+def collisions(names: DataFrame) -> DataFrame:
+    """names(layer, name, id) -> (name_key, n, layers, first_id): names that several files bear, whatever their case."""
+    g = names.groupBy(F.lower("name").alias("name_key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("layer").alias("layers"), F.min("id").alias("first_id"))
+    return g.where("n > 1")
+
+
+def compared(origin: DataFrame, copy: DataFrame, key: str = "master_id", text: str = "corpo") -> DataFrame:
+    """(key, state): 'absent' where the copy has no such row, 'equal' or 'changed' by the digest of the texts; one row a key on both sides."""
+    a = origin.where(F.col(key).isNotNull()).select(key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("a"))
+    b = copy.where(F.col(key).isNotNull()).select(key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("b"))
+    return a.join(b, key, "left").select(key, F.when(F.col("b").isNull(), "absent").when(F.col("a") == F.col("b"), "equal").otherwise("changed").alias("state"))

@@ -178,7 +178,7 @@ def t01(spark, d):
     return n.select("note_id", F.date_format("mtime", "dd/MM HH:mm").alias("stamp"), (F.col("mtime") >= F.date_sub(F.to_date(F.lit(TODAY)), 30).cast("timestamp_ntz")).alias("recent"))
 
 
-@query("N01_json_props", "select event_type, (json_extract_string(props, '$.k'))::bigint as k, count(*)::bigint n from events group by all")
+@query("json_props", "select event_type, (json_extract_string(props, '$.k'))::bigint as k, count(*)::bigint n from events group by all")
 def n01(spark, d):
     k = F.from_json("props", "k bigint")["k"]
     return _t(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
@@ -385,7 +385,8 @@ def c06(spark, d):
 # ---------------------------------------------------------------- slices
 
 _BLOCKS = rf"""{_LINES}, k as (select *, case when regexp_matches(line, '^#{{1,4}}\s+\S') then 'title' when regexp_matches(trim(line), '^\{{\{{(?:p|loc)\.([0-9ivxlcdm]+)\}}\}}$') then 'anchor' when trim(line) = '' then 'blank' else 'text' end kind from l),
-o as (select *, case when kind in ('title', 'anchor') or kind = 'text' and coalesce(lag(kind) over (partition by master_id order by line_no), 'blank') <> 'text' then 1 else 0 end op from k),
+kq as (select *, coalesce(max(case when kind = 'text' and starts_with(trim(line), '>') then line_no end) over v, 0) > coalesce(max(case when kind <> 'text' then line_no end) over v, 0) inq from k window v as (partition by master_id order by line_no rows unbounded preceding)),
+o as (select * exclude (inq), case when kind in ('title', 'anchor') or kind = 'text' and coalesce(lag(kind) over z, 'blank') <> 'text' and not coalesce(lag(kind) over z = 'blank' and lag(kind, 2) over z = 'text' and lag(inq, 2) over z, false) then 1 else 0 end op from kq window z as (partition by master_id order by line_no)),
 b as (select *, sum(op) over (partition by master_id order by line_no) block from o where kind <> 'blank'),
 bl as (select master_id, block::bigint block, arg_min(kind, line_no) kind, max(case when kind = 'title' then length(regexp_extract(line, '^(#+)', 1)) end)::bigint as level, sum(len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')))::bigint words, min(line_no)::bigint first_line from b group by all)"""
 _CUT = f"""case when r.n > 0 and ((coalesce(x.level, 9) <= 2 and r.n >= {TARGET} * 0.4) or (coalesce(x.level, 9) > 2 and r.n + x.words > {int(TARGET * 1.3)} and r.n >= {TARGET} * 0.5))"""
@@ -653,12 +654,7 @@ def q9(spark, d):
     return P.run('TABLE WITHOUT ID file.link AS "nota", status AS "status", ano AS "ano" FROM -"99-Templates" WHERE (tipo = "Doutrina" OR tipo = "Artigo") AND (status = "Vigente" OR confiabilidade = "Oficial") AND !parte', N.once(_t(spark, d, "notes"), *P.COLUMNS, "path"), TODAY)
 
 
-@query("S13_first_of_path", "select source, min(doc_id) first_doc, count(*)::bigint n from documents where source is not null group by source")
-def s13(spark, d):
-    return _t(spark, d, "documents").where("source is not null").groupBy("source").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-
-
-@query("S14_A14_collisions", "select md5(text) digest, count(*)::bigint n, min(doc_id) first_doc from documents where text is not null and trim(text) <> '' group by 1 having count(*) > 1")
+@query("equal_texts", "select md5(text) digest, count(*)::bigint n, min(doc_id) first_doc from documents where text is not null and trim(text) <> '' group by 1 having count(*) > 1")
 def s14(spark, d):
     t = _t(spark, d, "documents").where("text is not null and trim(text) != ''")
     return t.groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")

