@@ -1,7 +1,7 @@
 """Language of each note and of each paragraph in another language, with a confidence.
 
 Hyperdimensional profiles: every letter has a random vector of +1 and -1. A
-run of three or four letters is the product of their vectors, each rotated by
+run of three letters (``RUNS``) is the product of their vectors, each rotated by
 as many places as letters follow it, so that order matters. A text is the sum of its
 runs; a language is the sum of its texts. Texts are compared with languages by
 cosine, and the confidence is how far the best stands out: a softmax of the
@@ -98,7 +98,7 @@ class Profiles:
         self.prototypes = prototypes
 
     def vectors(self, texts: list[str]) -> np.ndarray:
-        """One row per text: the sum of the vectors of its runs of three and four letters."""
+        """One row per text: the sum of the vectors of its runs of letters."""
         joined = "  ".join(texts).lower() if all(len(t) == len(t.lower()) for t in texts) else None
         texts = texts if joined is not None else [t.lower() for t in texts]
         joined = joined if joined is not None else "  ".join(texts)
