@@ -54,9 +54,13 @@ def evidence(rows: DataFrame, own: str) -> DataFrame:
     ``own`` gives an array of subjects for a sentence ``s``, empty if none is known.
     """
     told = rows.select("doc_id", F.expr(f"transform(sents, s -> struct(s.grams as grams, {own} as own))").alias("x"))
-    told = told.select("doc_id", "x", F.expr("array_distinct(flatten(transform(x, s -> flatten(transform(s.own, o -> transform(s.grams, g -> struct(g as gram, o as subject)))))))").alias("k"))
-    rest = F.expr("transform(array_except(flatten(transform(filter(x, s -> size(s.own) = 0), s -> s.grams)), transform(k, e -> e.gram)), g -> struct(g as gram, -1 as subject))")
-    return told.select("doc_id", F.explode(F.concat("k", rest)).alias("e")).select("doc_id", "e.gram", "e.subject")
+    # phrases are made distinct as plain numbers, subject by subject: that is hashed, where structs would be compared in pairs
+    told = told.select("doc_id", "x", F.expr("""
+      transform(array_distinct(flatten(transform(x, s -> s.own))), o -> struct(o as subject,
+        array_distinct(flatten(transform(filter(x, s -> array_contains(s.own, o)), s -> s.grams))) as grams))""").alias("k"))
+    rest = F.expr("array(struct(-1 as subject, array_except(flatten(transform(filter(x, s -> size(s.own) = 0), s -> s.grams)), flatten(transform(k, e -> e.grams))) as grams))")
+    each = told.select("doc_id", F.explode(F.concat("k", rest)).alias("e"))
+    return each.select("doc_id", F.explode("e.grams").alias("gram"), F.col("e.subject").alias("subject"))
 
 
 def verified(rows: DataFrame, known: list[str], support: int, purity: float) -> DataFrame:
