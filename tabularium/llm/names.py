@@ -32,7 +32,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,7 @@ MIN_LINK = 0.1  # average similarity at which two groups are merged
 NICK_TIMES, NICK_SHARE = 3, 0.3  # contexts in which a first word must stand for another, and their share of all it stands in
 CROWD = 100  # first words beside the same other words, beyond which these tell nothing about any two of them
 KNOWN = 10  # families in which a first name is found, so that it isn't an error for another
+BLOCK = 500  # names of one meeting that are compared at a time; more are parted, and any two parts compared
 LOCAL = 100_000  # links of one component that one task merges; more are merged by joins over all tasks, with the same result
 UNIT = 1_000_000  # similarities are summed in whole millionths
 # Forms of names and bodies, folded.
@@ -354,22 +355,81 @@ def vectors(heads: DataFrame) -> DataFrame:
 
 
 def meetings(heads: DataFrame) -> DataFrame:
-    """(a, b), a < b: forms that share a pair of n-grams."""
+    """(gram, form): the pairs of n-grams that two forms at least have."""
     keys = cut(_features(heads, lambda n, p: set(grams(p))).select("gram", "form"))
     held = keys.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    keys = keys.join(held, "gram").select("gram", "form")
-    return keys.select("gram", F.col("form").alias("a")).join(keys.select("gram", F.col("form").alias("b")), "gram").where("a < b").select("a", "b").distinct()
+    return keys.join(held, "gram").select("gram", "form")
 
 
-def _compared(pairs: DataFrame, vec: DataFrame, min_cosine: float) -> DataFrame:
-    """pairs(a, b) -> (a, b, sim, weight_a, weight_b) of those that don't contradict each other, with the cosine of their vectors.
+@lru_cache(50_000)
+def _letters(w: str) -> int:
+    """The letters of a word as bits; other letters may share one."""
+    return reduce(lambda m, c: m | 1 << ord(c) % 64, w, 0)
 
-    vec(form, grams, weights, said, weight): of each form its vector and what it says.
+
+def _may(words: list[str], given: bool) -> np.ndarray:
+    """Of all pairs of rows whether ``_same`` can hold of their words (or two errors, of first names), by lengths and letters; a blank word passes."""
+    size, bits = np.array([len(w) for w in words]), np.array([_letters(w) for w in words], dtype="uint64")
+    start = np.array([ord(w[0]) if w else 0 for w in words])
+    least, most = np.minimum.outer(size, size), np.maximum.outer(size, size)
+    # an error adds or takes a letter, or puts one in place of another
+    errors = np.where(least >= 5, 2, 1) if given else np.where(least <= 3, 0, np.where((least <= 5) | (most <= 7), 1, 2))
+    near = (np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 2 * errors) & (most - least <= errors)
+    return near | (least == 0) | ((least == 1) & (start[:, None] == start[None, :]))
+
+
+def _agreeing(ids: list[int], said: list[dict], part: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (a, b), a < b, of rows that agree; where there are two parts, those of different parts."""
+    may = np.triu(np.ones((len(ids), len(ids)), dtype=bool), 1)
+    if part.min() != part.max():
+        may &= part[:, None] != part[None, :]
+    if len(ids) > 5 and all(p["kind"] == "P" for p in said):  # most pairs are told apart by lengths and letters
+        nick = np.array([p["first"] in p["nicks"] for p in said])
+        may &= _may([p["first"] for p in said], True) | nick[:, None] | nick[None, :]
+        may &= _may([p["family"] for p in said], False) & _may([p["mother"] for p in said], False)
+    return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in np.argwhere(may).tolist() if agree(said[i], said[j])]
+
+
+def agreeing(met: DataFrame, heads: DataFrame) -> DataFrame:
+    """met(key, form) -> (a, b), a < b: forms that share a key and don't contradict each other.
+
+    Pairs are formed where the forms of a key are together, and only those that
+    agree go on: names travel once a key, not once a pair. Where a key has more
+    than ``BLOCK`` forms, these are parted, and any two parts come together in a
+    place of their own, so that no task has more than two parts at a time.
     """
+    met = met.toDF("key", "form")
+    sized = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))
+    own = F.pmod(F.xxhash64("form"), F.col("parts"))
+    placed = met.join(sized, "key").withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = placed.join(heads.select("form", "said"), "form").select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "form", "said")
 
-    def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple[int, int]] = []
+        cell, ids, said, part = None, [], [], []
         for b in batches:
-            yield b.loc[[agree(json.loads(x), json.loads(y)) for x, y in zip(b["said_a"], b["said_b"])], ["a", "b"]]
+            for *at, k, f, p in b.itertuples(index=False):
+                if at != cell:
+                    if len(ids) > 1:
+                        found += _agreeing(ids, said, np.array(part))
+                    cell, ids, said, part = at, [], [], []
+                ids.append(f), said.append(json.loads(p)), part.append(k)
+            if len(found) > 100_000:
+                yield pd.DataFrame(set(found), columns=["a", "b"])
+                found = []
+        if len(ids) > 1:
+            found += _agreeing(ids, said, np.array(part))
+        yield pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+
+    n = spread(met.sparkSession)
+    return cells.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long").distinct()
+
+
+def _cosines(pairs: DataFrame, vec: DataFrame, min_cosine: float) -> DataFrame:
+    """pairs(a, b) -> (a, b, sim, weight_a, weight_b), with the cosine of their vectors, of those at least ``min_cosine`` alike.
+
+    vec(form, grams, weights, said, weight): of each form its vector and what it says.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -377,13 +437,8 @@ def _compared(pairs: DataFrame, vec: DataFrame, min_cosine: float) -> DataFrame:
             out["sim"] = [_dot(*v) for v in zip(b["grams_a"], b["weights_a"], b["grams_b"], b["weights_b"])]
             yield out.loc[out["sim"] >= min_cosine, ["a", "b", "sim", "weight_a", "weight_b"]]
 
-    def joined(df: DataFrame, *cols: str) -> DataFrame:
-        side = lambda x: vec.select(F.col("form").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-        return balanced(df.join(side("a"), "a").join(side("b"), "b"))
-
-    # most pairs that meet contradict each other; vectors travel for the rest only
-    kept = cut(joined(pairs, "said").mapInPandas(agreeing, "a long, b long"))
-    return joined(kept, "grams", "weights", "weight").mapInPandas(run, "a long, b long, sim double, weight_a long, weight_b long")
+    side = lambda x: vec.select(F.col("form").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("grams", "weights", "weight")])
+    return balanced(pairs.join(side("a"), "a").join(side("b"), "b")).mapInPandas(run, "a long, b long, sim double, weight_a long, weight_b long")
 
 
 def _dot(ga: np.ndarray, wa: np.ndarray, gb: np.ndarray, wb: np.ndarray) -> float:
@@ -398,7 +453,7 @@ def similar(alike: DataFrame, min_cosine: float = MIN_COSINE, top: int = TOP) ->
     """
     heads = alike.where("name_id = form")
     vec = cut(vectors(heads).join(heads.select("form", "said", "weight"), "form"))
-    all_pairs = cut(_compared(meetings(heads), vec, min_cosine))
+    all_pairs = cut(_cosines(cut(agreeing(meetings(heads), heads)), vec, min_cosine))
     ends = all_pairs.select(F.col("a").alias("x"), "a", "b", "sim").unionByName(all_pairs.select(F.col("b").alias("x"), "a", "b", "sim"))
     near = ends.withColumn("rk", F.row_number().over(Window.partitionBy("x").orderBy(F.col("sim").desc(), "a", "b"))).where(F.col("rk") <= top).select("a", "b").distinct()
     return cut(all_pairs.join(near, ["a", "b"], "left_semi")), vec
@@ -407,8 +462,8 @@ def similar(alike: DataFrame, min_cosine: float = MIN_COSINE, top: int = TOP) ->
 def completed(edges: DataFrame, vec: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """The links, and those found by comparing the forms that have a link to a third in common but aren't linked yet."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(both.select(F.col("a").alias("c"), "b"), "b").where("a < c").select("a", F.col("c").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
-    return edges.unionByName(_compared(near, vec, min_cosine))
+    near = cut(agreeing(both.select("b", "a"), vec).join(edges, ["a", "b"], "left_anti"))
+    return edges.unionByName(_cosines(near, vec, min_cosine))
 
 
 def average_linkage(sim: np.ndarray, least: float) -> list[list[int]]:

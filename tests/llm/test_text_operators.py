@@ -139,6 +139,23 @@ def test_join_finds_what_comparing_all_pairs_finds(spark, data):
     assert len(few) >= 0.95 * len(got) and few <= set(got)
 
 
+def test_names_that_meet_travel_once_and_all_are_compared(spark, monkeypatch):
+    """400 names share their n-grams; of their 79,800 pairs only those that agree may be shuffled."""
+    rng = np.random.default_rng(1)
+    firsts = sorted({"".join(rng.choice(list("bdfglmnprst"), 3) + rng.choice(list("aeiou"), 3)) + "x" * (i % 2) for i in range(420)})[:400]
+    df = spark.createDataFrame([(i, f"{f} Zampessa Barpanga") for i, f in enumerate([*firsts, "B. X."])], "name_id bigint, nome string")
+    alike = names.forms(df)
+    heads = {r["form"]: json.loads(r["said"]) for r in alike.where("name_id = form").collect()}
+    want = {(a, b) for a in heads for b in heads if a < b and names.agree(heads[a], heads[b])}
+    written = lambda: sum(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().statusStore().executorList(False))[0].totalShuffleWrite() for _ in range(1))
+    before = written()
+    got = {(r["a"], r["b"]) for r in names.similar(alike, 0.0, top=10**6)[0].collect()}
+    assert got == want and written() - before < 3e6
+    for block in (7, 60):  # parts of a key that many names share
+        monkeypatch.setattr(names, "BLOCK", block)
+        assert {(r["a"], r["b"]) for r in names.similar(alike, 0.0, top=10**6)[0].collect()} == want and len(want) > 100
+
+
 def test_nicknames_are_learned(spark):
     fams = [f"{a}{b}" for a in ("barp", "zomv", "telg", "murd") for b in ("anga", "ondo", "uste", "irve")]
     said = [(f, m) for f in fams for m in fams if f != m]
