@@ -543,11 +543,15 @@ def a05(spark, d):
     return K.document_frequency(_ids(spark, d)).agg(F.count_if(F.col("df") >= 2).alias("shared"), F.count(F.lit(1)).alias("total"))
 
 
+def findings(spark, d):
+    """(finding, label, num): the identifier each hub note names; finding is its note_id."""
+    hub = N.once(_t(spark, d, "notes"), "hub_id").where(~is_blank(F.col("hub_id")))
+    return hub.select(F.col("note_id").alias("finding"), F.split_part("hub_id", F.lit("-"), F.lit(1)).alias("label"), F.regexp_replace(F.regexp_replace("hub_id", "^[^-]*-", ""), "[^0-9]", "").alias("num"))
+
+
 @query("C30_J07_affected", f"with {notes('hub_id')}, f as (select distinct note_id::varchar finding, split_part(hub_id, '-', 1) label, regexp_replace(substr(hub_id, instr(hub_id, '-') + 1), '[^0-9]', '', 'g') num from n where not {blank('hub_id')}), m as (select distinct note_id, label, num from mentions where note_id is not null) select finding, note_id, count(*)::bigint common from f join m using (label, num) group by all")
 def c30(spark, d):
-    hub = N.once(_t(spark, d, "notes"), "hub_id").where(~is_blank(F.col("hub_id")))
-    ids = hub.select(F.col("note_id").cast("string").alias("finding"), F.split_part("hub_id", F.lit("-"), F.lit(1)).alias("label"), F.regexp_replace(F.regexp_replace("hub_id", "^[^-]*-", ""), "[^0-9]", "").alias("num"))
-    return K.affected(ids, _t(spark, d, "mentions").where("note_id is not null"))
+    return K.affected(findings(spark, d).withColumn("finding", F.col("finding").cast("string")), _t(spark, d, "mentions").where("note_id is not null"))
 
 
 _PARTS = rf"{notes('stem', 'parte', 'obra', 'pagina_inicio', 'pagina_fim')}, s as (select note_id, {link('obra')} as work, try_cast(trim(parte) as bigint) parte, try_cast(pagina_inicio as bigint) a, try_cast(pagina_fim as bigint) z from n where not {blank('parte')}), p as (select * from s where work is not null and parte is not null)"

@@ -151,6 +151,25 @@ def test_common_identifiers_change_no_relation(spark):
         assert {(r["work"], r["other"], r["common"], r["weight"]) for r in K.relations(ids, least=2.0, top=99, common=common).collect()} == want and want
 
 
+def test_findings_touch_notes_in_any_cells(spark):
+    import random
+
+    rnd = random.Random(6)
+    f = spark.createDataFrame(sorted({(rnd.randint(1, 40), "lei", str(rnd.choice((1, 1, 2, 3)))) for _ in range(60)}), "finding bigint, label string, num string")
+    n = spark.createDataFrame(sorted({(rnd.randint(1, 90), "lei", str(rnd.choice((1, 1, 1, 2, 4)))) for _ in range(150)}), "note_id bigint, label string, num string")
+    want = {tuple(r) for r in f.join(n, ["label", "num"]).groupBy("finding", "note_id").count().collect()}
+    for cell in (10**6, 50, 1):
+        got = [tuple(r) for r in K.affected(f, n, cell).collect()]
+        assert set(got) == want and len(got) == len(want) > 500
+    assert {r["note_id"] for r in K.touched(f, n).collect()} == {b for a, b, _ in want if a != b}
+    one = f.groupBy("finding").agg(F.min("label").alias("label"), F.min("num").alias("num"))
+    df = K.affected(one, n)
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # pairs aren't shuffled
+    assert sorted((r["finding"], r["note_id"], r["common"]) for r in df.collect()) == sorted((r["finding"], r["note_id"], 1) for r in one.join(n, ["label", "num"]).collect())
+    alone = spark.createDataFrame([(5, "lei", "7")], "finding bigint, label string, num string")
+    assert K.touched(alone, alone.withColumnRenamed("finding", "note_id")).collect() == [] and K.affected(f.limit(0), n).collect() == []
+
+
 def test_identifiers_need_their_words(spark):
     docs = spark.createDataFrame([(1, "Lei nº 5.172 e a SÚMULA 473; decreto-lei 200"), (2, None), (3, "lei 12")], "doc_id bigint, t string")
     got = {(r["label"], r["num"]) for r in K.extract(docs, "doc_id", "t").collect()}
