@@ -158,7 +158,7 @@ def c40(spark, d):
 
 @query("C31_to_flag", f"with {notes('hub_id', 'status')}, f as (select distinct note_id fid, split_part(hub_id, '-', 1) label, regexp_replace(substr(hub_id, instr(hub_id, '-') + 1), '[^0-9]', '', 'g') num from n where not {blank('hub_id')}), t as (select distinct m.note_id from mentions m join f using (label, num) where m.note_id is not null and m.note_id <> f.fid) select n.note_id, n.status was from n join t using (note_id) where n.status is distinct from 'A-conferir'")
 def c31(spark, d):
-    hit = R.QUERIES["C30_J07_affected"](spark, d).where(F.col("finding") != F.col("note_id").cast("string")).select("note_id").distinct()
+    hit = K.touched(R.findings(spark, d), table(spark, d, "mentions").where("note_id is not null"))
     return N.once(table(spark, d, "notes"), "status").join(hit, "note_id").where(~F.col("status").eqNullSafe("A-conferir")).select("note_id", F.col("status").alias("was"))
 
 
