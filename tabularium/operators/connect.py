@@ -8,13 +8,17 @@ of a common one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabularium.functions import dims
 from tabularium.functions.text import is_blank, link_stem
 from tabularium.operators.notes import once
-from tabularium.sources.tables import cut
+from tabularium.sources.tables import cut, spread
 
 PLACES = 6  # decimals at which weights are compared; sums of doubles depend on their order
 
@@ -58,45 +62,130 @@ def _weighted(ids: DataFrame) -> DataFrame:
     return d.where((F.col("df") >= 2) & (F.col("df") <= F.ceil(F.col("N") / 2))).select("label", "num", "df", F.log(F.col("N") / F.col("df")).alias("w"))
 
 
-COMMON = 2000  # works from which an identifier joins only where lighter ones don't suffice
+WORKS = 50_000  # works of a block at most; any two blocks are compared in a place of their own
+LOOKUP = 500_000  # works whose names are broadcast
+
+
+def numbered(one: DataFrame) -> DataFrame:
+    """(work, id): works numbered from 0 in the order of their names."""
+    names = one.select("work").distinct()
+    s = cut(names.repartitionByRange("work").sortWithinPartitions("work").withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()))
+    first = s.groupBy(F.col("p").alias("q")).agg(F.min("i").alias("i0"), F.count(F.lit(1)).alias("c"))
+    start = first.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return s.join(F.broadcast(start), F.col("p") == F.col("q")).select("work", (F.col("i") - F.col("i0") + F.col("before")).alias("id"))
 
 
-def pair_weights(one: DataFrame, least: float, common: int = COMMON) -> DataFrame:
-    """one(work, label, num, df, w) -> (a, b, common, weight), a < b: every pair of works that reaches ``least``, and maybe others.
+def cells(one: DataFrame, ids: DataFrame, works: int = WORKS, both: bool = False) -> tuple[DataFrame, int]:
+    """one(work, label, num, w), ids(work, id) -> ((i, j, w, a, b), width): for blocks i <= j (any, if ``both``) of ``width`` works and each identifier, the works of either block that have it.
 
-    Identifiers of few works are joined with themselves. Of the common ones a
-    work's lightest, as far as they stay under ``least`` together, don't look
-    for partners: the rarest identifier that two related works share is never
-    among them, in either work. Common identifiers are then added for the pairs
-    found, so sums are whole.
+    The lists of works are what travels, not their pairs.
     """
-    side = lambda df, x: df.select("label", "num", F.col("work").alias(x))
-    few, many = one.where(F.col("df") <= common), one.where(F.col("df") > common)
-    rare = few.select("label", "num", "w", F.col("work").alias("a")).join(side(few, "b"), ["label", "num"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n1"), F.sum("w").alias("w1"))
-    if not many.limit(1).count():
-        return rare.select("a", "b", F.col("n1").alias("common"), F.round("w1", PLACES).alias("weight"))
-    rare = cut(rare)
-    order = Window.partitionBy("work").orderBy(F.col("df").desc(), "label", "num").rowsBetween(Window.unboundedPreceding, 0)
-    lead = one.withColumn("run", F.sum("w").over(order)).where((F.col("run") >= least - 10.0**-PLACES) & (F.col("df") > common))
-    found = side(lead, "a").join(side(lead, "b"), ["label", "num"]).where("a < b").select("a", "b").unionByName(rare.select("a", "b")).distinct()
-    shared = found.join(many.select("label", "num", "w", F.col("work").alias("a")), "a").join(side(many, "b"), ["b", "label", "num"])
-    rest = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n2"), F.sum("w").alias("w2"))
-    zero = F.lit(0)
-    return rare.join(rest, ["a", "b"], "full").select(
-        "a", "b", (F.coalesce("n1", zero) + F.coalesce("n2", zero)).alias("common"), F.round(F.coalesce("w1", zero) + F.coalesce("w2", zero), PLACES).alias("weight")
-    )
-
-
-def relations(ids: DataFrame, least: float = 2.0, top: int = 8, common: int = COMMON) -> DataFrame:
+    n = ids.count()
+    width = max(1, min(works, -(-n // max(1, int((2 * spread(ids.sparkSession)) ** 0.5)))))
+    block = cut(one.join(ids, "work").groupBy("label", "num", F.floor(F.col("id") / width).cast("int").alias("k")).agg(F.first("w").alias("w"), F.array_sort(F.collect_list(F.col("id").cast("int"))).alias("l")))
+    met = block.select("label", "num", F.col("k").alias("i"), "w", F.col("l").alias("a")).join(block.select("label", "num", F.col("k").alias("j"), F.col("l").alias("b")), ["label", "num"]).where("(i = j and size(a) > 1) or " + ("i != j" if both else "i < j"))
+    return met.select("i", "j", "label", "num", "w", "a", "b").repartition(max(spread(ids.sparkSession), (-(-n // width) + 1) ** 2), "i", "j").sortWithinPartitions("i", "j", "label", "num"), width
+
+
+def _sums(batches: Iterator[pd.DataFrame], width: int, both: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``cells`` -> (a, partners b, how many identifiers they share, their summed weights), a < b unless ``both``, cell by cell and work by work."""
+
+    def whole(rows: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        (i, j), lists = rows[0][:2], [np.asarray(r[4], dtype="int64") - width * rows[0][1] for r in rows]
+        weight = np.array([r[2] for r in rows])
+        at = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+        who = np.concatenate([r[3] for r in rows])
+        order = np.argsort(who, kind="stable")
+        at, who = at[order], who[order]
+        ends = np.flatnonzero(np.diff(who, append=-1)) + 1
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            own, a = at[lo:hi], int(who[lo])
+            to = np.concatenate([lists[k] for k in own])
+            w = np.repeat(weight[own], [len(lists[k]) for k in own])
+            if i == j:
+                later = to != a - width * i if both else to > a - width * i
+                to, w = to[later], w[later]
+            if len(to) * 20 > width:
+                n = np.bincount(to, minlength=width)
+                b = np.flatnonzero(n)
+                n, s = n[b], np.bincount(to, w, minlength=width)[b]
+            else:
+                b, back = np.unique(to, return_inverse=True)
+                n, s = np.bincount(back, minlength=len(b)), np.bincount(back, w, minlength=len(b))
+            if len(b):
+                yield a, b + width * j, n, s
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for i, j, w, a, b in zip(batch["i"], batch["j"], batch["w"], batch["a"], batch["b"]):
+            if rows and rows[0][:2] != (i, j):
+                yield from whole(rows)
+                rows = []
+            rows.append((i, j, w, a, b))
+    if rows:
+        yield from whole(rows)
+
+
+def _tables(parts: Iterator[tuple], names: list[str], size: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Tables of about ``size`` rows from parts (a, columns...)."""
+    held, n = [], 0
+    for a, *cols in parts:
+        held.append([np.full(len(cols[0]), a), *cols])
+        n += len(cols[0])
+        if n >= size:
+            yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
+            held, n = [], 0
+    if held:
+        yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
+
+
+def _named(df: DataFrame, ids: DataFrame, *cols: str) -> DataFrame:
+    """Numbers of works replaced by their names; a lookup of up to ``LOOKUP`` works is broadcast."""
+    few = ids.count() <= LOOKUP
+    for c in cols:
+        names = ids.select(F.col("work").alias(f"name_{c}"), F.col("id").alias(c))
+        df = df.join(F.broadcast(names) if few else names, c).drop(c).withColumnRenamed(f"name_{c}", c)
+    return df
+
+
+
+def shared(one: DataFrame, works: int = WORKS) -> DataFrame:
+    """one(work, label, num) -> (work, other, common): all pairs of works that share identifiers, work < other, none of them shuffled."""
+    ids = cut(numbered(one))
+    met, width = cells(one.withColumn("w", F.lit(1.0)), ids, works)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _tables(((a, b, n) for a, b, n, _ in _sums(batches, width)), ["work", "other", "common"])
+
+    return _named(met.select("i", "j", "w", "a", "b").mapInPandas(run, "work long, other long, common long"), ids, "work", "other").select("work", "other", "common")
+
+
+def relations(ids: DataFrame, least: float = 2.0, top: int = 8, common: int | None = None, works: int = WORKS) -> DataFrame:
     """(work, other, common, weight, rk): each work's ``top`` related works by the summed weight of shared identifiers.
 
-    Ties go to the name of the other work. Null works are left out.
+    Ties go to the name of the other work. Null works are left out. Pairs are
+    summed where two blocks of works meet; from there only the ``top`` of each
+    work in each meeting go on, which hold the ``top`` of all. ``common`` is
+    taken for older callers; it makes no difference.
     """
     one = cut(ids.where("work is not null").select("work", "label", "num").join(_weighted(ids), ["label", "num"]))
-    half = pair_weights(one, least, common).where(F.col("weight") >= least)
-    both = half.select(F.col("a").alias("work"), F.col("b").alias("other"), "common", "weight").unionByName(half.select(F.col("b").alias("work"), F.col("a").alias("other"), "common", "weight"))
+    no = cut(numbered(one))
+    met, width = cells(one, no, works, both=True)
+
+    def best(b: np.ndarray, n: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
+        s = np.round(s, PLACES)
+        last = max(least, np.partition(s, -top)[-top]) if len(s) > top else least  # ties of the last stay for the order of names
+        near = np.flatnonzero(s >= last)
+        near = near[np.lexsort((b[near], -s[near]))[:top]]
+        return [b[near], n[near], s[near]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _tables(((a, *best(b, n, s)) for a, b, n, s in _sums(batches, width, True)), ["work", "other", "common", "weight"])
+
+    pairs = met.select("i", "j", "w", "a", "b").mapInPandas(run, "work long, other long, common long, weight double")
     rank = F.row_number().over(Window.partitionBy("work").orderBy(F.col("weight").desc(), "other")).cast("long")
-    return both.withColumn("rk", rank).where(F.col("rk") <= top)
+    kept = cut(pairs.withColumn("rk", rank).where(F.col("rk") <= top))  # numbers are in the order of names
+    return _named(kept, no, "work", "other").select("work", "other", "common", "weight", "rk")
 
 
 def proofs(ids: DataFrame, rel: DataFrame, top: int = 5) -> DataFrame:

@@ -575,7 +575,7 @@ def j08(spark, d):
     ids = cut(_ids(spark, d))
     w = K._weighted(ids).select("label", "num")
     one = ids.select("work", "label", "num").join(w, ["label", "num"])
-    return one.join(one.withColumnRenamed("work", "other"), ["label", "num"]).where("work < other").groupBy("work", "other").agg(F.count(F.lit(1)).alias("common"))
+    return K.shared(one)
 
 
 @query("F11_identifier_text", r"with m as (select distinct label, num from mentions where label is not null and num is not null) select label, num, label || ' ' || case when label = 'processo' or length(num) <= 3 then num else ltrim(reverse(regexp_replace(reverse(num), '(\d{3})', '\1.', 'g')), '.') end shown from m")
