@@ -170,6 +170,16 @@ def test_findings_touch_notes_in_any_cells(spark):
     assert K.touched(alone, alone.withColumnRenamed("finding", "note_id")).collect() == [] and K.affected(f.limit(0), n).collect() == []
 
 
+def test_blocks_of_works_change_no_pair(spark):
+    rows = sorted({(f"w{i % 23:02}", "lei", str(i * i % 17), 1) for i in range(200)})
+    ids = spark.createDataFrame(rows, "work string, label string, num string, n bigint")
+    a, b = ids.select("work", "label", "num"), ids.select(F.col("work").alias("other"), "label", "num")
+    want = sorted(tuple(r) for r in a.join(b, ["label", "num"]).where("work < other").groupBy("work", "other").count().collect())
+    assert sorted(tuple(r) for r in K.shared(a, works=4).collect()) == want and len(want) > 50
+    top = [sorted(tuple(r) for r in K.relations(ids, least=0.5, top=3, works=w).collect()) for w in (4, 100)]
+    assert top[0] == top[1] and len(top[0]) > 20
+
+
 def test_identifiers_need_their_words(spark):
     docs = spark.createDataFrame([(1, "Lei nº 5.172 e a SÚMULA 473; decreto-lei 200"), (2, None), (3, "lei 12")], "doc_id bigint, t string")
     got = {(r["label"], r["num"]) for r in K.extract(docs, "doc_id", "t").collect()}
