@@ -28,6 +28,7 @@ many, from the n-grams on, so that copies don't multiply.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections import Counter
@@ -47,7 +48,8 @@ MIN_COSINE = 0.2  # of whole vectors; names that say less in common are none of
 TOP = 100  # partners each name keeps from the join; what that leaves out is found again over common partners
 MIN_LINK = 0.1  # average similarity at which two groups are merged
 NICK_TIMES, NICK_SHARE = 3, 0.3  # contexts in which a first word must stand for another, and their share of all it stands in
-CROWD = 100  # first words beside the same other words, beyond which these tell nothing about any two of them
+CROWD = 100  # first words beside the same other words, beyond which their pairs are counted in tables of two parts, not formed one by one
+PART = 1_000  # first words in a part of such a table
 KNOWN = 10  # families in which a first name is found, so that it isn't an error for another
 BLOCK = 500  # names of one meeting that are compared at a time; more are parted, and any two parts compared
 LOCAL = 100_000  # links of one component that one task merges; more are merged by joins over all tasks, with the same result
@@ -281,20 +283,80 @@ def facts(names: DataFrame) -> DataFrame:
     return once.mapInPandas(run, schema)
 
 
+def crowded(at: DataFrame) -> DataFrame:
+    """at(others, first, n, few) -> (x, y, c), x < y: beside how many ``others`` two first words stand, of pairs that can be a nickname and its name.
+
+    n: all others the first word is found beside; few: as many of them may be
+    added to what is counted here. The first words are parted, and any two parts
+    come together in a place of their own, where one table counts all pairs of
+    their words: no pair is formed, whatever the number beside the same others.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, told, count = None, [], None
+
+        def enough() -> pd.DataFrame:
+            p, q = np.nonzero(np.triu(count, 1) if cell[0] == cell[1] else count)
+            n, few = (np.minimum(x[p], y[q]) for x, y in told)
+            ok = count[p, q] + few >= np.maximum(NICK_SHARE * n, NICK_TIMES)
+            return pd.DataFrame({"i": cell[0], "j": cell[1], "p": p[ok], "q": q[ok], "c": count[p[ok], q[ok]]})
+
+        for b in batches:
+            for i, j, row, p, q in zip(b["i"], b["j"], b["row"], b["p"], b["q"]):
+                if (i, j) != cell:
+                    if cell:
+                        yield enough()
+                    cell, told, count = (i, j), [], np.zeros((len(p), len(q)), dtype="int32")
+                if row < 2:  # n of the words of both parts, then few, then who stands beside the same others
+                    told.append((p, q))
+                else:
+                    count[np.ix_(p, q)] += 1
+        if cell:
+            yield enough()
+
+    words = cut(at.select("first", "n", "few").distinct())
+    n = spread(at.sparkSession)
+    parts = max(-(-words.count() // PART), math.isqrt(2 * n))
+    placed = words.withColumn("part", F.pmod(F.xxhash64("first"), F.lit(parts)))
+    placed = cut(placed.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("first")) - 1))
+    told = placed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("k", "n", "few"))).alias("v"))
+    rows = [told.select(F.lit(i).alias("row"), F.lit("").alias("others"), "part", F.col(f"v.{c}").alias("v")) for i, c in enumerate(("n", "few"))]
+    beside = at.join(placed.select("first", "part", "k"), "first").groupBy("others", "part").agg(F.collect_list(F.col("k").cast("long")).alias("v"))
+    every = cut(reduce(DataFrame.unionByName, [*rows, beside.withColumn("row", F.lit(2))]))
+    side = lambda i, p: every.select("row", "others", F.col("part").alias(i), F.col("v").alias(p))
+    cells = side("i", "p").join(side("j", "q"), ["row", "others"]).where("i <= j").drop("others")
+    met = cells.repartition(n, "i", "j").sortWithinPartitions("i", "j", "row").mapInPandas(run, "i long, j long, p long, q long, c long")
+    word = lambda i, p, w: placed.select(F.col("part").alias(i), F.col("k").cast("long").alias(p), F.col("first").alias(w))
+    return met.join(word("i", "p", "a"), ["i", "p"]).join(word("j", "q", "b"), ["j", "q"]).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "c")
+
+
 def nicknames(said: DataFrame) -> DataFrame:
     """facts -> (nick, full): first words that stand for another one.
 
     Either the names themselves say so in quotes, more often of this first name
     than of others; or both stand first before the same other words in
-    ``NICK_TIMES`` families or more, ``NICK_SHARE`` of all the nickname is in.
+    ``NICK_TIMES`` families or more, ``NICK_SHARE`` of all the nickname is in,
+    however many first words these other words are found with.
     """
     own = said.where("quoted is not null and length(quoted) > 1 and length(first) > 1 and quoted != first").groupBy("quoted", "first").agg(F.countDistinct("others", "family").alias("c"))
     own = own.groupBy("quoted").agg(F.max_by("first", F.struct("c", "first")).alias("full"), F.max("c").alias("top"), F.sum("c").alias("n")).where("2 * top > n").select(F.col("quoted").alias("nick"), "full")
     at = cut(said.where("others is not null and length(first) > 1").select("others", "first").distinct())
-    few = at.groupBy("others").agg(F.sort_array(F.collect_set("first")).alias("f"), F.count(F.lit(1)).alias("n")).where(f"n between 2 and {CROWD}")
-    pairs = few.select(F.explode(F.expr("flatten(transform(f, (x, i) -> transform(slice(f, i + 2, size(f)), y -> struct(x, y))))")).alias("p")).groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("c")).where(f"c >= {NICK_TIMES}")
-    of = at.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.join(of.select(F.col("first").alias("x"), F.col("n").alias("nx")), "x").join(of.select(F.col("first").alias("y"), F.col("n").alias("ny")), "y")
+    of = at.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {NICK_TIMES}")  # fewer are never enough
+    beside = cut(at.join(of, "first").groupBy("others").agg(F.sort_array(F.collect_set("first")).alias("f")).where("size(f) > 1"))
+    few, many = beside.where(f"size(f) <= {CROWD}"), beside.where(f"size(f) > {CROWD}")
+    pairs = few.select(F.explode(F.expr("flatten(transform(f, (x, i) -> transform(slice(f, i + 2, size(f)), y -> struct(x, y))))")).alias("p")).groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("c"))
+    if not many.isEmpty():
+        pairs, crowd = cut(pairs), cut(many.select("others", F.explode("f").alias("first")))
+        held = cut(crowd.groupBy("first").agg(F.count(F.lit(1)).alias("m")))
+        # with a word of fewer crowds than NICK_TIMES only those can stand together often enough that also do so elsewhere
+        side = lambda w, m: held.select(F.col("first").alias(w), F.col("m").alias(m))
+        rest = pairs.join(side("x", "mx"), "x").join(side("y", "my"), "y").where(F.least("mx", "my") < NICK_TIMES)
+        rest = rest.select("x", "y", F.when(F.col("mx") <= F.col("my"), F.col("x")).otherwise(F.col("y")).alias("r"), F.when(F.col("mx") <= F.col("my"), F.col("y")).otherwise(F.col("x")).alias("first"))
+        rest = rest.join(crowd.withColumnRenamed("first", "r"), "r").join(crowd, ["others", "first"]).select("x", "y", F.lit(1).cast("long").alias("c"))
+        told = of.join(held.where(f"m >= {NICK_TIMES}"), "first").join(few.select(F.explode("f").alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("few")), "first", "left")
+        often = crowded(crowd.join(told.select("first", "n", F.coalesce("few", F.lit(0).cast("long")).alias("few")), "first"))
+        pairs = pairs.unionByName(rest).unionByName(often).groupBy("x", "y").agg(F.sum("c").alias("c"))
+    both = pairs.where(f"c >= {NICK_TIMES}").join(of.select(F.col("first").alias("x"), F.col("n").alias("nx")), "x").join(of.select(F.col("first").alias("y"), F.col("n").alias("ny")), "y")
     less = F.when(F.col("nx") <= F.col("ny"), F.struct(F.col("x").alias("nick"), F.col("y").alias("full"), F.col("nx").alias("n"))).otherwise(F.struct(F.col("y").alias("nick"), F.col("x").alias("full"), F.col("ny").alias("n")))
     met = both.select("c", less.alias("l")).where(F.col("c") >= NICK_SHARE * F.col("l.n")).select("l.nick", "l.full")
     return own.unionByName(met).distinct()

@@ -167,6 +167,32 @@ def test_nicknames_are_learned(spark):
     assert names.nicknames(f.limit(0)).collect() == []
 
 
+def test_nicknames_are_learned_beside_more_than_a_crowd(spark):
+    """Of 130 first words beside the same other words two stand together again and again."""
+    rows = [(f"Murdanga Telg{k}", "quim") for k in "aeiou"] + [(f"Murdanga Telg{k}", "joaquim") for k in "aeiouxyz"]
+    rows += [(f"Murdanga Telg{k}", f"{k}{chr(97 + i % 26)}{chr(97 + i // 26)}bra") for k in "aeiou" for i in range(128)]
+    f = names.facts(spark.createDataFrame([(i, f"{a} {m.split()[1]} {m.split()[0]}".title()) for i, (m, a) in enumerate(rows)], "name_id bigint, nome string"))
+    assert [tuple(r) for r in names.nicknames(f).collect()] == [("quim", "joaquim")]
+
+
+def test_crowds_and_few_are_counted_by_the_definition(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    firsts = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("ra", "lo", "mi")]
+    often = rng.uniform(0.02, 0.6, len(firsts))
+    at = {(f"o{o:02}", f) for o in range(40) for k, f in enumerate(firsts) if rng.random() < often[k] * (0.2 if o % 3 else 1.4)}
+    of, together = Counter(f for _, f in at), Counter()
+    for o in {o for o, _ in at}:
+        here = sorted(f for p, f in at if p == o)
+        together.update((x, y) for i, x in enumerate(here) for y in here[i + 1 :])
+    less = lambda x, y: (x, y) if of[x] <= of[y] else (y, x)
+    want = {less(*p) for p, c in together.items() if c >= names.NICK_TIMES and c >= names.NICK_SHARE * of[less(*p)[0]]}
+    said = spark.createDataFrame([(o, f, None, "") for o, f in at], "others string, first string, quoted string, family string")
+    for crowd, part in ((100, 1000), (10, 1000), (10, 7), (1, 3)):
+        monkeypatch.setattr(names, "CROWD", crowd), monkeypatch.setattr(names, "PART", part)
+        got = [tuple(r) for r in names.nicknames(said).collect()]
+        assert set(got) == want and len(got) == len(want) and 100 < len(want) < len(together)
+
+
 def test_average_linkage_by_hand():
     s = np.array([[0, 1, 0.5, -1], [1, 0, 0.5, -1], [0.5, 0.5, 0, 0.6], [-1, -1, 0.6, 0]], dtype=float)
     assert sorted(map(sorted, names.average_linkage(s, 0.3))) == [[0, 1], [2, 3]]
